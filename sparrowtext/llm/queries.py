@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .jaccard import op4_jaccard_join
 from .line_dedup import op9_line_dedup
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -36,6 +38,17 @@ gone AS (
 """
 
 ORACLE = {
+    "op4_jaccard_join": f"""
+WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN [w] ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i+1]))) END AS s
+  FROM dw WHERE len(w) > 0),
+content AS (SELECT s, min(doc_id) AS first, len(s) AS n FROM sets GROUP BY s),
+tok AS (SELECT first, n, unnest(s) AS g FROM content),
+common AS (SELECT a.first AS x, b.first AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM tok a JOIN tok b ON a.g = b.g AND a.first < b.first AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY ALL)
+SELECT x AS doc_a, y AS doc_b, c / (nx + ny - c) AS jaccard FROM common WHERE round(c / (nx + ny - c), 9) >= 0.6
+UNION ALL SELECT DISTINCT first, doc_id, 1.0 FROM sets JOIN content USING (s) WHERE doc_id <> first
+""",
     "op9_line_dedup": f"""
 WITH {LINES_SQL},
 kept AS (
