@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .decontaminate import op10_decontaminate
 from .jaccard import op4_jaccard_join
 from .line_dedup import op9_line_dedup
 
 QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_bpe": op6_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
