@@ -6,8 +6,10 @@ from .bpe import op6_bpe
 from .decontaminate import op10_decontaminate
 from .jaccard import op4_jaccard_join
 from .line_dedup import op9_line_dedup
+from .quality_crf import op3_quality_crf
 
 QUERIES = {
+    "op3_quality_crf": op3_quality_crf,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_bpe": op6_bpe,
     "op9_line_dedup": op9_line_dedup,
