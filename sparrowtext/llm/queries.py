@@ -7,11 +7,13 @@ from .decontaminate import op10_decontaminate
 from .jaccard import op4_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality_crf import op3_quality_crf
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op3_quality_crf": op3_quality_crf,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
