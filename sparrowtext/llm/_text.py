@@ -6,7 +6,7 @@ lower-cased text.  All hashes are 64-bit and depend on nothing but their bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,27 +126,37 @@ def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h)[at]
 
 
-TOKEN_BITS = 52
-_TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
+HASH_BITS = 46
+HASH = np.uint64((1 << HASH_BITS) - 1)
+_TOKEN = np.uint64((1 << 52) - 1)
 
 
-def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 52-bit n-gram) of every distinct pair, ascending: a set of integers for each of at most DOCS texts.
+def ngram_sets(texts: pa.Array, n: int, level: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of every distinct n-gram of at most DOCS texts, ascending.
 
-    A text of 1 to n - 1 words has the one token of all its words; a text without words has none.
+    A token is a 46-bit hash below 6 bits that sum up `level` of its words (by their hashes), 63 at most: given the
+    frequencies of words, rare combinations come first.  A text of 1 to n - 1 words has the one token of all its
+    words; a text without words has none.
     """
     words = Words(texts)
     at, h = ngrams(words, n)
-    key = (words.doc[at].astype(np.uint64) << np.uint64(TOKEN_BITS)) | (h & _TOKEN)
+    h &= HASH
+    each = np.zeros(len(words) + 1, np.int64)
+    if level is not None:
+        np.cumsum(level(words.hash), out=each[1:])
+        h |= np.minimum(each[at + n] - each[at], 63).astype(np.uint64) << np.uint64(HASH_BITS)
+    key = (words.doc[at].astype(np.uint64) << np.uint64(52)) | h
     count = np.diff(words.bound)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        whole = mix(Segments(words.hash)(words.bound[short], words.bound[short + 1]) + count[short].astype(np.uint64))
-        key = np.concatenate([key, (short.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (whole & _TOKEN)])
+        lo, hi = words.bound[short], words.bound[short + 1]
+        whole = mix(Segments(words.hash)(lo, hi) + count[short].astype(np.uint64)) & HASH
+        whole |= np.minimum(each[hi] - each[lo], 63).astype(np.uint64) << np.uint64(HASH_BITS)
+        key = np.concatenate([key, (short.astype(np.uint64) << np.uint64(52)) | whole])
     key.sort()
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & _TOKEN
+    return (key >> np.uint64(52)).astype(np.int64), key & _TOKEN
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

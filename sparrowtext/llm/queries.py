@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .chat import op5_chat_format
 from .decontaminate import op10_decontaminate
 from .jaccard import op4_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality_crf import op3_quality_crf
 from .toxicity import op8_toxicity
+from .warc import op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_quality_crf": op3_quality_crf,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
@@ -44,6 +48,17 @@ gone AS (
 """
 
 ORACLE = {
+    "op5_chat_format": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(replace(role, '<|im_', '<| im_'), '') AS role, coalesce(replace(text, '<|im_', '<| im_'), '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             '<|im_start|>' || role || chr(10) AS head, '<|im_end|>' || chr(10) AS tail FROM t),
+o AS (SELECT *, octet_length(encode(head)) AS h, octet_length(encode(text)) AS c,
+             sum(octet_length(encode(head || text || tail))) OVER (PARTITION BY conv_id ORDER BY i) - octet_length(encode(head || text || tail)) AS base FROM n)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || text || tail, '' ORDER BY i) AS text,
+       coalesce(list({'start': CAST(base + h AS BIGINT), 'end': CAST(base + h + c AS BIGINT)} ORDER BY i) FILTER (WHERE role = 'assistant'), []) AS spans
+FROM o GROUP BY conv_id
+""",
     "op4_jaccard_join": f"""
 WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 sets AS (
