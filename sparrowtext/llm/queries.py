@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from .audio import op1_telephony
 from .bpe import op6_bpe
 from .chat import op5_chat_format
 from .decontaminate import op10_decontaminate
 from .jaccard import op4_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality_crf import op3_quality_crf
+from .token_store import op7_token_store
 from .toxicity import op8_toxicity
 from .warc import op2_warc
 
 QUERIES = {
+    "op1_telephony": op1_telephony,
     "op2_warc": op2_warc,
     "op3_quality_crf": op3_quality_crf,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
+    "op7_token_store": op7_token_store,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
