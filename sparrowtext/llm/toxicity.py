@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, mapper
-from ._text import _BYTE, Segments, Words, chunks, lowered, member, mix, runs
+from ._text import _BYTE, Segments, Words, chunks, flat, lowered, member, mix, runs
 
 INDUCE_DOCS = 6000  # labelled documents from which word beginnings are induced, at most
 TRAIN_DOCS = 4000  # documents of either posterior label that the classifier is fitted to, at most
@@ -100,9 +100,7 @@ def vote(texts: pa.Array, terms: Terms) -> tuple[np.ndarray, Words, list[np.ndar
     votes[:, n_lex] = np.where(hits == 0, 0, np.where(density >= 2 * RATE, 1, 2))
     votes[:, n_lex + 1] = np.where(variety == 0, 0, np.where(variety >= 2, 1, 2))
     votes[:, n_lex + 2] = np.where(hits == 0, 0, np.where(hits >= 3, 1, 2))
-    data = np.frombuffer(texts.cast(pa.large_string()).fill_null("").buffers()[2] or b"", np.uint8)
-    off = np.frombuffer(texts.cast(pa.large_string()).fill_null("").buffers()[1], np.int64)[: n + 1] if n else np.zeros(1, np.int64)
-    data = data[: off[-1]]
+    data, off = flat(texts)
     capital = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     small = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
     up, low = capital[off[1:]] - capital[off[:-1]], small[off[1:]] - small[off[:-1]]
