@@ -4,7 +4,7 @@
 2. Voters: each lexicon, and patterns over all their hits (density, variety, repetition, shouting), vote toxic, clean or
    neither on every document.
 3. Label model: the counts of all vote vectors over the whole corpus are explained by a hidden class.  Expectation
-   maximisation fits, for each voter, its distribution given the class and one other voter; who depends on whom is the spanning tree of greatest
+   maximisation, with a weak prior that voters are right more often than not, fits, for each voter, its distribution given the class and one other voter; who depends on whom is the spanning tree of greatest
    mutual information given the class.  So accuracies and correlations are estimated without labels.
 4. A linear classifier of hashed words and votes is fitted to the posterior labels of a bounded sample and
    scores every document.
@@ -38,6 +38,8 @@ LEXICONS = (
     ("stupid", "pathetic", "worthless", "disgusting", "useless", "despicable", "dumb", "erbärmlich", "minable", "patético"),
 )
 INDUCED = 3  # lexicons that the induced beginnings are dealt to
+# how voters of either class vote, before any is seen, in rows of clean and toxic; worth 0.5 % of the documents
+PRIOR = np.array([[0.9, 0.05, 0.05], [0.25, 0.5, 0.25]])
 VOTERS = len(LEXICONS) + INDUCED + 4
 
 
@@ -173,7 +175,7 @@ def fit_label_model(votes: np.ndarray, count: np.ndarray, steps: int = 40) -> La
         table = []
         for j, p in enumerate(parent):
             above = votes[:, p] if p >= 0 else np.zeros(len(votes), np.int64)
-            t = np.zeros((2, 3, 3)) + 0.05
+            t = PRIOR[:, None, :].repeat(3, axis=1) * max(5.0, 0.005 * count.sum())
             for c in (0, 1):
                 np.add.at(t[c], (above, votes[:, j]), weight[:, c])
             table.append(t / t.sum(axis=2, keepdims=True))
