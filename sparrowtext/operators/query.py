@@ -20,7 +20,7 @@ class Occur(IntEnum):
 
 
 def number(x: float) -> str:
-    """The shortest decimal that reads back as x; exponents below -4 and from 21 on have two digits at least."""
+    """The shortest decimal that reads back as x; exponents below -4 and from 6 on are written, with two digits at least."""
     if math.isnan(x) or math.isinf(x):
         return "NaN" if math.isnan(x) else "+Inf" if x > 0 else "-Inf"
     if x == 0:
@@ -32,7 +32,7 @@ def number(x: float) -> str:
             digits, exponent = short.split("e")
             break
     e = int(exponent)
-    if e < -4 or e >= 21:
+    if e < -4 or e >= 6:
         return f"{digits}e{'-' if e < 0 else '+'}{abs(e):02d}"
     return f"{float(x):.{max(0, len(digits.replace('-', '').replace('.', '')) - 1 - e)}f}"
 
