@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import mapper
-from ._text import _BYTE, Segments, chunks, flat, mix, ranges, runs
+from ._text import _BYTE, Segments, chunks, flat, member, mix, ranges, runs
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TOKENIZERS = "/opt/tokenizers"
 
+WORDS_KEPT = 400_000  # words whose ids a Python worker keeps; more words cost time, nothing else
 _BITS = 17  # ids stay below 2**17
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -69,6 +70,9 @@ class Bpe:
         self._automaton(ids)
         self.cache_key = np.full(1 << 20, -1, np.int64)
         self.cache_ok = np.zeros(1 << 20, bool)
+        # ids of words met before, by hash: filled up to WORDS_KEPT words, and then fixed
+        self.kept_key, self.kept_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kept_at, self.kept_ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
         off = np.concatenate([[0], np.cumsum(self.length)])
         self.flat, self.flat_off = np.frombuffer(b"".join(tokens), np.uint8), off
 
@@ -250,13 +254,29 @@ class Bpe:
         of = np.empty(len(key), np.int64)
         of[order] = np.repeat(np.arange(len(first)), n)
         own = order[first]
-        ids, count = self.encode_words(data, start[own], end[own])
-        at = np.cumsum(count) - count
+        ids, at, count = self._known(key[own], data, start[own], end[own])
         c = count[of]
         out = ids[ranges(at[of], c)]
         total = np.concatenate([[0], np.cumsum(c)])
         return out, total[np.searchsorted(start, off)]
 
+    def _known(self, key: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of the first id of each word, number of ids) of distinct words, by ascending hash."""
+        where = member(key, self.kept_key)
+        new = np.flatnonzero(where < 0)
+        ids, n = self.encode_words(data, start[new], end[new])
+        at = np.cumsum(n) - n + len(self.kept_ids)
+        place, count = self.kept_at[where] if len(self.kept_at) else np.zeros(len(key), np.int64), self.kept_n[where] if len(self.kept_n) else np.zeros(len(key), np.int64)
+        place[new], count[new] = at, n
+        everything = np.concatenate([self.kept_ids, ids])
+        if len(new) and len(self.kept_key) < WORDS_KEPT:
+            keys = np.concatenate([self.kept_key, key[new]])
+            order = np.argsort(keys, kind="stable")
+            self.kept_key = keys[order]
+            self.kept_at, self.kept_n = np.concatenate([self.kept_at, at])[order], np.concatenate([self.kept_n, n])[order]
+            self.kept_ids = everything
+        return everything, place, count
+
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, n + 1 offsets) of some lists of ids."""
         length = self.length[ids]
@@ -352,6 +372,10 @@ def _path(name: str, folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}"
 
 
+def default_vocabulary() -> str:
+    return _path(VOCABULARY)
+
+
 def list_array(ids: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
 
