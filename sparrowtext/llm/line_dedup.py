@@ -213,12 +213,14 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     lines go becomes the empty text.  Lines are split at the line feed alone, and kept lines keep their bytes.
     A column of `docs` that is itself named n_dropped is replaced.
     """
-    gone = copies(docs, min_words, near_words).groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone")).select(F.col("doc_id").alias("_gone_id"), "_gone")
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left").withColumn("_parts", F.split("text", "\n"))
-    numbers: Column = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    text = F.array_join(F.transform(numbers, lambda i: F.get("_parts", i)), "\n")
-    out = kept.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
-    return out.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0))).select(*[c for c in docs.columns if c != "n_dropped"], "n_dropped")
+    gone = copies(docs, min_words, near_words).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name clashes
+    kept = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left").withColumn("parts", F.split("row.text", "\n"))
+    numbers: Column = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.array_join(F.transform(numbers, lambda i: F.get("parts", i)), "\n")
+    text = F.when(F.col("gone").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(text).alias("text")
+    columns = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_dropped"]
+    return kept.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
