@@ -47,7 +47,9 @@ class LineFeatures:
         data, off = flat(texts)
         kind = _CLASS[data]
         if len(data) > 1:  # capitals of two bytes: U+00C0 to U+00DE
-            kind[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] = _UPPER
+            capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+        kind[1:][capital] = _UPPER
+        kind[:-1][capital] = _UPPER
         breaks = np.flatnonzero(data == 10)
         begin = np.union1d(off[:-1][np.diff(off) > 0], breaks + 1)
         begin = begin[begin < len(data)]
@@ -228,6 +230,13 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, train
     return scored(docs, train(docs, labels, train_docs)).where((F.col("n_lines") > 0) & (F.col("quality") >= keep))
 
 
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns as they were, whatever their names."""
+    plain = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = good_documents(plain, labels)
+    return kept.select(*[F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns, strict=True)])
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept, with their quality and that of their lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
