@@ -86,10 +86,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, encoding: str = "d
                 lists = list_array(ids, off)
                 if none.any():
                     lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32), mask=np.append(none, False)), pa.array(ids))
-                held.append(pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(batch.num_columns - 1)), pa.array(np.diff(off).astype(np.int32), mask=none), lists], schema=schema))
-                size += len(ids)
-                if size >= row_group_tokens:
-                    yield flush()
+                made = pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(batch.num_columns - 1)), pa.array(np.diff(off).astype(np.int32), mask=none), lists], schema=schema)
+                at = 0
+                while at < len(made):
+                    end = min(len(made), max(at + 1, int(np.searchsorted(off, off[at] + row_group_tokens - size, "left"))))
+                    held.append(made.slice(at, end - at))
+                    size += int(off[end] - off[at])
+                    at = end
+                    if size >= row_group_tokens:
+                        yield flush()
         if held:
             yield flush()
         if writer is not None:
