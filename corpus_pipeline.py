@@ -17,7 +17,7 @@ from sparrowtext.llm._spark import shared_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field rejects go, those without lines among them."""
-    return quality_crf.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+    return quality_crf.without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
