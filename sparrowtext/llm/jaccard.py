@@ -3,9 +3,11 @@
 A document is the set of its word n-grams (tokens).  All pairs with Jaccard similarity >= t are found exactly:
 
 1. One scan gives each document a content id (hash and size of its set) and each partition's frequent tokens.
-   A token that is frequent in the corpus is frequent in some partition, so their union, with counts
-   summed over all partitions, is the table of frequent tokens; it holds at most (mean set size) / FREQUENT entries.
-2. Tokens are ordered rare first, then by growing frequency.  A set x must share more than it can miss,
+   A token that is frequent in the corpus is frequent in some partition, so their union, with counts summed over all
+   partitions, is the table of frequent tokens, of which the MOST_FREQUENT are kept.  The same goes for words.  Any table gives
+   the same pairs; a good one gives few candidates.
+2. Tokens that aren't frequent come first, those of rare words before those of frequent words, then the frequent ones by
+   growing frequency.  A set x must share more than it can miss,
    p - 1 = |x| - ceil(t|x|) tokens, so its prefix is extended until p misses are needed to destroy every
    signature in it: a rare token is a signature alone (weight 1); frequent tokens are split into groups, and a group
    of c tokens from a class of k-token combinations weighs c - k + 1.
@@ -13,8 +15,11 @@ A document is the set of its word n-grams (tokens).  All pairs with Jaccard simi
    other prefix; so equal signatures find every pair.
    Groups grow in number with the set (levels), so that combinations stay proportional to the tokens; a pair
    meets at the level of its smaller set, and a set emits at every level its partners can have.
-3. Equal signatures meet in one partition; sets of equal content count once; size and position bounds are applied.
-4. Candidate pairs get their token sets and are verified.
+3. Equal signatures meet in one partition; sets of equal content count once; size and position bounds are applied.  Each
+   set names its three least signatures, and a pair is left to the least that both name.
+4. Candidates whose parity sketches differ in more places than the sets may are dropped; the token sets of
+   the others are sent, once each, to every partition in which they have a partner, and verified.  A pair is verified in the
+   partition of the least hash of both sets, which the sets of one group mostly have in common.
 """
 
 from __future__ import annotations
@@ -27,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Packer, bloom, by_bucket, cut, packed_schema, partitions, unpack
-from ._text import DOCS, chunks, member, mix, ngram_sets, runs
+from ._spark import bloom, by_bucket, cut, mapper, packed_schema, partitions, unpack
+from ._text import DOCS, HASH, Words, chunks, member, mix, ngram_sets, ranges, runs
 
 N = 2
 THRESHOLD = 0.6
-FREQUENT = 0.0005  # share of documents from which a token is frequent: pairs of tokens
-VERY_FREQUENT = 0.02  # and triples of tokens
+FREQUENT = 0.0002  # share of a partition's documents, 3 at least, from which a token is frequent: pairs of tokens
+VERY_FREQUENT = 0.02  # share of all documents from which triples are used
 LEAST_FREQUENT = 8  # documents
+MOST_FREQUENT = 1_000_000  # tokens in the broadcast table, 16 MB
+BROADCAST_ROWS = 1_000_000  # of (set, partition), 20 MB; beyond that the sets are shuffled to their partitions in two steps
+LEAST_PARITIES = 256  # bits of a sketch; larger sets have 2 to 4 bits a token
+FREQUENT_WORD = 0.0001  # share of all words; the rarer ones count alike
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
@@ -46,51 +55,107 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null and text is not null")
 
 
+class WordLevels:
+    """How often a word occurs, as a small number: 0 below FREQUENT_WORD, and 1 more at each doubling."""
+
+    def __init__(self, words: np.ndarray, share: np.ndarray, least: float):
+        order = np.argsort(words)
+        self.words = words[order]
+        self.level = np.append(np.clip(np.log2(share[order] / least) + 1, 1, 31).astype(np.int64), 0)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        return self.level[member(words, self.words)]
+
+
 class Sets:
     """The token sets of at most DOCS texts."""
 
-    def __init__(self, texts: pa.Array, n: int):
-        self.row, self.token = ngram_sets(texts, n)
+    def __init__(self, texts: pa.Array, n: int, words: WordLevels | None = None):
+        self.row, self.token = ngram_sets(texts, n, words)
         self.bound = np.searchsorted(self.row, np.arange(len(texts) + 1))
         self.size = np.diff(self.bound)
         sums = np.zeros(len(self.token) + 1, np.uint64)
-        np.cumsum(mix(self.token), out=sums[1:])
+        np.cumsum(mix(self.token & HASH), out=sums[1:])
         self.id = mix((sums[self.bound[1:]] - sums[self.bound[:-1]]) ^ mix(self.size.astype(np.uint64)))
 
-
-def _statistics(docs: DataFrame, n: int, frequent: float) -> DataFrame:
-    """kind 0: (doc_id, content id, size) of each text with words; kind 1: (token, documents) frequent in a partition."""
+    def sketches(self, some: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Of the rows `some`, none of them empty: the least hash, and the parities of hash buckets.
+
+        Each token of one set that isn't in the other flips one parity, so the parities of two sets differ in at most
+        as many places as the sets have tokens that aren't shared.
+        """
+        h = mix(self.token & HASH)
+        least = np.minimum.reduceat(h, self.bound[some])
+        places = np.maximum(LEAST_PARITIES, 2 ** np.ceil(np.log2(np.maximum(2 * self.size, 1))).astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(places)])
+        at = base[self.row] + ((h >> np.uint64(20)).astype(np.int64) & (places[self.row] - 1))
+        bits = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(bool))
+        return least, [bits[base[i] >> 3 : base[i + 1] >> 3].tobytes() for i in some.tolist()]
+
+
+class _Counter:
+    """Counts of 64-bit values, folded together now and then."""
+
+    def __init__(self) -> None:
+        self.value, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = self.total = 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(values)
+        self.size += len(values)
+        self.total += len(values)
+        if self.size > 2_000_000:
+            self.fold()
+
+    def fold(self) -> None:
+        fresh = np.concatenate([np.zeros(0, np.uint64), *self.held])
+        fresh.sort()
+        start, count = runs(fresh)
+        value, count = np.concatenate([self.value, fresh[start]]), np.concatenate([self.count, count])
+        self.held, self.size = [], 0
+        order = np.argsort(value, kind="stable")
+        start = runs(value[order])[0]
+        self.value = value[order][start]
+        self.count = np.add.reduceat(count[order], start) if len(start) else count
+
+    def least(self, count: float) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        often = self.count >= count
+        return self.value[often], self.count[often]
+
+
+def _statistics(docs: DataFrame, n: int, frequent: float, frequent_word: float) -> DataFrame:
+    """kind 0: (doc_id, content id, size) of each text with words; 1: (token, documents) frequent in a partition;
+    2: (word, occurrences) frequent in a partition; 3: (0, words) of a partition."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = 0, [], 0
-        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        total, tokens, words = 0, _Counter(), _Counter()
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            token = np.concatenate([known[0], *held])
-            count = np.concatenate([known[1], np.ones(len(token) - len(known[0]), np.int64)])
-            order = np.argsort(token, kind="stable")
-            start = runs(token[order])[0]
-            return token[order][start], np.add.reduceat(count[order], start) if len(start) else count
+        def rows(kind: int, a: np.ndarray | pa.Array, b: np.ndarray, size: np.ndarray | None = None, least: np.ndarray | None = None, sketch: list[bytes] | None = None) -> pa.RecordBatch:
+            a = a if isinstance(a, pa.Array) else pa.array(a.view(np.int64))
+            none = np.zeros(len(a), np.int64)
+            size, least = (none if x is None else x.view(np.int64) for x in (size, least))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b.view(np.int64)), pa.array(size), pa.array(least), pa.array(sketch or [None] * len(a), pa.binary())],
+                names=["kind", "a", "b", "size", "least", "sketch"],
+            )
 
         for batch in batches:
             ids = batch.column(0)
             for a, b in chunks(batch.column(1)):
+                words.add(Words(batch.column(1)[a:b]).hash)
                 sets = Sets(batch.column(1)[a:b], n)
+                tokens.add(sets.token)
                 total += b - a
-                held.append(sets.token)
-                size += len(sets.token)
-                if size > 3_000_000:
-                    known, held, size = fold(), [], 0
                 some = np.flatnonzero(sets.size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(some), np.int32)), ids[a:b].take(pa.array(some)), pa.array(sets.id[some].view(np.int64)), pa.array(sets.size[some])], names=["kind", "a", "b", "c"]
-                )
-        token, count = fold() if held else known
-        often = count >= max(2, frequent * total)
-        token, count = token[often].view(np.int64), count[often]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.array(token), pa.array(count), pa.array(np.zeros(len(token), np.int64))], names=["kind", "a", "b", "c"])
+                if len(some):
+                    yield rows(0, ids[a:b].take(pa.array(some)), sets.id[some], sets.size[some], *sets.sketches(some))
+        for kind, (value, count) in ((1, tokens.least(max(3, frequent * total))), (2, words.least(max(2, frequent_word * words.total)))):
+            yield rows(kind, value, count)
+        yield rows(3, np.zeros(1, np.int64), np.array([words.total]))
 
-    return _texts(docs).mapInArrow(of, "kind int, a bigint, b bigint, c bigint")
+    return _texts(docs).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, least bigint, sketch binary")
 
 
 def level(size: int) -> int:
@@ -126,7 +191,7 @@ def combination_signatures(tokens: np.ndarray, classes: np.ndarray, rare: int, w
 
 def signatures(sets: Sets, table: np.ndarray, count: np.ndarray, many: float, t: float) -> tuple[np.ndarray, ...]:
     """(row, signature, position) of the extended prefixes; the position is -1 for combinations."""
-    at = member(sets.token, table)
+    at = member(sets.token & HASH, table)
     rare = at < 0
     wanted = sets.size - _ceil(t * sets.size) + 1
     before = np.concatenate([[0], np.cumsum(rare)])
@@ -146,37 +211,102 @@ def signatures(sets: Sets, table: np.ndarray, count: np.ndarray, many: float, t:
             out_row.append(np.full(len(sig), i))
             out_sig.append(np.array(sig, np.uint64))
             out_pos.append(np.full(len(sig), -1))
-    return np.concatenate(out_row), np.concatenate(out_sig), np.concatenate(out_pos)
-
-
-def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.ndarray, many: float) -> DataFrame:
+    row, sig, pos = np.concatenate(out_row), np.concatenate(out_sig), np.concatenate(out_pos)
+    return row, sig, pos
+
+
+NONE = np.uint32(0xFFFFFFFF)
+
+
+def owners(row: np.ndarray, sig: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low[i]: the three least hashes of the signatures in the first eighth of set i and of its combinations; NONE where there are fewer."""
+    own = np.flatnonzero(8 * pos < size[row])
+    key = (row[own].astype(np.uint64) << np.uint64(32)) | rank_of(sig[own])
+    key.sort()
+    doc = (key >> np.uint64(32)).astype(np.int64)
+    start, length = runs(doc)
+    place = ranges(np.zeros(len(start), np.int64), length)
+    first = place < 3
+    low = np.full((len(size), 3), NONE)
+    low[doc[first], place[first]] = (key[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return low
+
+
+def rank_of(sig: np.ndarray) -> np.ndarray:
+    return (sig >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+
+
+class _Sender:
+    """Packs signatures by bucket, with the data of a set once for each bucket that it has signatures in."""
+
+    names = ("id", "size", "low", "n", "sig", "pos")
+
+    def __init__(self, parts: int, limit: int = 2_000_000):
+        self.parts, self.limit = parts, limit
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.sets: list[tuple[np.ndarray, ...]] = []
+        self.n_rows = self.n_sets = 0
+
+    def add(self, sets: Sets, row: np.ndarray, sig: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        short = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])  # 48 bits tell signatures apart
+        self.rows.append((((sig & np.uint64(0xFFFF)) % np.uint64(self.parts)).astype(np.uint16), (row + self.n_sets).astype(np.int32), short, pos.astype(np.int32)))
+        self.sets.append((sets.id, sets.size.astype(np.int32), owners(row, sig, pos, sets.size)))
+        self.n_rows += len(row)
+        self.n_sets += len(sets.id)
+        if self.n_rows > self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n_rows:
+            return
+        bucket, of, sig, pos = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        who, size, low = (np.concatenate(x) for x in zip(*self.sets, strict=True))
+        self.rows, self.sets, self.n_rows, self.n_sets = [], [], 0, 0
+        order = np.argsort(bucket, kind="stable")
+        bucket, of, sig, pos = bucket[order], of[order], sig[order], pos[order]
+        head = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (of[1:] != of[:-1])]))
+        n = np.diff(np.append(head, len(of))).astype(np.int32)
+        at = of[head]
+        columns = {"id": who[at], "size": size[at], "low": low[at], "n": n, "sig": sig, "pos": pos}
+        every = np.arange(self.parts + 1)
+        edges = {True: np.searchsorted(bucket[head], every), False: np.searchsorted(bucket, every)}
+        full = np.flatnonzero(np.diff(edges[False]))
+        out = [pa.array(full.astype(np.int32))]
+        for name in self.names:
+            e, c = edges[name not in ("sig", "pos")], columns[name]
+            out.append(pa.array([c[e[k] : e[k + 1]].tobytes() for k in full], pa.binary()))
+        yield pa.RecordBatch.from_arrays(out, names=["bucket", *self.names])
+
+
+def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.ndarray, words: WordLevels, many: float) -> DataFrame:
     """Distinct pairs (x, y) of content ids that share a signature and pass the bounds."""
     parts = partitions(docs.sparkSession)
-    names = ["sig", "id", "size", "pos"]
-    shared = docs.sparkSession.sparkContext.broadcast((table, count))
+    shared = docs.sparkSession.sparkContext.broadcast((table, count, words))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts, names)
+        sender = _Sender(parts)
+        table, count, words = shared.value
         for batch in batches:
             for a, b in chunks(batch.column(1)):
-                sets = Sets(batch.column(1)[a:b], n)
-                row, sig, pos = signatures(sets, *shared.value, many, t)
-                yield from packer.add(sig % np.uint64(parts), sig, sets.id[row], sets.size[row].astype(np.int32), pos.astype(np.int32))
-        yield from packer.flush()
+                sets = Sets(batch.column(1)[a:b], n, words)
+                yield from sender.add(sets, *signatures(sets, table, count, many, t))
+        yield from sender.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpack(batches, {"sig": "u8", "id": "u8", "size": "i4", "pos": "i4"})
-        order = np.argsort(got["sig"], kind="stable")
-        start, length = runs(got["sig"][order])
+        got = unpack(batches, {"id": "u8", "size": "i4", "low": "u4", "n": "i4", "sig": "u1", "pos": "i4"})
+        wide = np.zeros((len(got["pos"]), 8), np.uint8)
+        wide[:, :6] = got["sig"].reshape(-1, 6)
+        sig = wide.view("<u8")[:, 0]
+        order = np.argsort(sig, kind="stable")
+        start, length = runs(sig[order])
         order = order[np.repeat(length > 1, length)]  # most signatures are met once
-        sig, who, size, pos = (got[k][order] for k in names)
-        del got
-        ids, who = np.unique(who, return_inverse=True)
+        ids, content = np.unique(got["id"], return_inverse=True)
+        head = np.repeat(np.arange(len(got["n"])), got["n"])[order]
+        sig, pos, who, size = sig[order], got["pos"][order], content[head], got["size"][head].astype(np.int64)
         order = np.lexsort((who, size, sig))
-        sig, who, size, pos = (x[order] for x in (sig, who, size.astype(np.int64), pos))
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
-        sig, who, size, pos = (x[new] for x in (sig, who, size, pos))
+        order = order[np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(who[order]) != 0)])] if len(order) else order
+        sig, who, size, pos, head = (x[order] for x in (sig, who, size, pos, head))
+        low, rank = got["low"].reshape(-1, 3), rank_of(sig)
         start, length = runs(sig)
         last = np.repeat(start + length, length) - 1
         found, held, active, d = [np.zeros(0, np.uint64)], 0, np.arange(len(sig)), 1
@@ -187,6 +317,16 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
             active, other = active[fits], other[fits]
             need = _ceil(t / (1 + t) * (size[active] + size[other]))
             good = (pos[active] <= size[active] - need) & (pos[other] <= size[other] - need)
+            # a pair is left to the least signature that both name, if its bounds hold there for certain
+            left = np.flatnonzero(good & (7 * size[active] >= 8 * need) & (7 * size[other] >= 8 * need))
+            if len(left):
+                u, v, own = low[head[active[left]]], low[head[other[left]]], rank[active[left]]
+                better = np.zeros(len(left), bool)
+                for i in range(3):
+                    ahead = u[:, i] < own
+                    for j in range(3):
+                        better |= ahead & (u[:, i] == v[:, j])
+                good[left[better]] = False
             x, y = who[active[good]].astype(np.uint64), who[other[good]].astype(np.uint64)
             found.append((np.minimum(x, y) << np.uint64(32)) | np.maximum(x, y))
             held += len(x)
@@ -197,23 +337,51 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
         x, y = ids[(pair >> np.uint64(32)).astype(np.int64)], ids[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
 
-    packed = _texts(docs).mapInArrow(emit, packed_schema(names))
+    packed = _texts(docs).mapInArrow(emit, packed_schema(list(_Sender.names)))
     return by_bucket(packed, parts).mapInArrow(meet, "x bigint, y bigint").distinct()
 
 
+def _alike(t: float):
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        size = batch.column("sx").to_numpy() + batch.column("sy").to_numpy()
+        differ = np.empty(len(size), np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("kx").to_pylist(), batch.column("ky").to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            if len(x) < len(y):
+                x, y = y, x
+            while len(x) > len(y):  # the sketch of half the size
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            differ[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64)
+        good = differ <= size - 2 * _ceil(t / (1 + t) * size)
+        yield batch.filter(pa.array(good)).select(["x", "y", "dx", "dy", "home"])
+
+    return of
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, bytes] = {}
+    pairs: list[pa.RecordBatch] = []
     for b in batches:
+        for i, tokens in zip(b.column("x").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+            if tokens is not None:
+                sets[i] = tokens
+        pairs.append(b.filter(b.column("tokens").is_null()))
+    for b in pairs:
         out = []
-        for u, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-            both = np.concatenate([u, v])
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            raw = np.frombuffer(sets[x] + sets[y], np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :5] = raw
+            both = wide.view("<u8")[:, 0]
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
-            out.append(common / (len(u) + len(v) - common))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["doc_a", "doc_b", "jaccard"])
+            out.append(common / (len(both) - common))
+        yield pa.RecordBatch.from_arrays([b.column("dx"), b.column("dy"), pa.array(out, pa.float64())], names=["dx", "dy", "jaccard"])
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
     """(doc_a, doc_b, jaccard) with doc_a < doc_b: documents whose n-gram sets are similar.
 
     Documents with equal sets are one content, known by its earliest doc_id.  The rows are every pair of contents
@@ -227,18 +395,25 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
     """
     if not 0.4 <= threshold <= 1:
         raise ValueError("the groups of frequent tokens are laid out for thresholds from 0.4 to 1")
-    stats = cut(_statistics(docs, n, frequent))
+    stats = cut(_statistics(docs, n, frequent, frequent_word))
     members = stats.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("id"))
     total = members.count()
-    often = stats.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where(F.col("b") >= max(least_frequent, frequent * total)).collect()
+    often = stats.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where(F.col("b") >= least_frequent).orderBy(F.desc("b"), "a").limit(MOST_FREQUENT).collect()
     table = np.array([r.a for r in often], np.int64).view(np.uint64)
     order = np.argsort(table)
     table, count = table[order], np.array([r.b for r in often], np.int64)[order]
-    pairs = cut(_candidates(docs, n, threshold, table, count, very_frequent * total))
+    occurring = stats.where("kind > 1").groupBy("kind", "a").agg(F.sum("b").alias("b"))
+    spoken = max(1, sum(r.b for r in occurring.where("kind = 3").collect()))
+    common = occurring.where((F.col("kind") == 2) & (F.col("b") >= frequent_word * spoken)).collect()
+    words = WordLevels(np.array([r.a for r in common], np.int64).view(np.uint64), np.array([r.b for r in common], np.float64) / spoken, frequent_word)
+    content = stats.where("kind = 0").groupBy(F.col("b").alias("id")).agg(*[F.min(c).alias(c) for c in ("a", "size", "least", "sketch")])
+    x, y = (content.select(F.col("id").alias(k), F.col("a").alias("d" + k), F.col("size").alias("s" + k), F.col("sketch").alias("k" + k), F.col("least").alias("l" + k)) for k in "xy")
+    parts = partitions(docs.sparkSession)
+    met = _candidates(docs, n, threshold, table, count, words, very_frequent * total).join(x, "x").join(y, "y").where("dx <> dy")
+    met = met.withColumn("home", F.pmod(F.least("lx", "ly"), F.lit(parts)).cast("int")).select("x", "y", "dx", "dy", "home", "sx", "sy", "kx", "ky")
+    pairs = cut(met.mapInArrow(mapper(_alike(threshold)), "x bigint, y bigint, dx bigint, dy bigint, home int"))
 
-    content = members.groupBy("id").agg(F.min("doc_id").alias("first"))
-    used = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    firsts = cut(content.join(used, "id"))
+    firsts = pairs.select(F.col("x").alias("id"), F.col("dx").alias("first")).union(pairs.select("y", "dy")).distinct()
     maybe = docs.sparkSession.sparkContext.broadcast(bloom(firsts, "first"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +421,21 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
             batch = batch.filter(pa.array(maybe.value.test(batch.column(0).to_numpy().view(np.uint64))))
             for a, b in chunks(batch.column(1), docs=DOCS):
                 sets = Sets(batch.column(1)[a:b], n)
-                packed = [sets.token[sets.bound[i] : sets.bound[i + 1]].tobytes() for i in range(b - a)]
+                tokens = (mix(sets.token & HASH) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                packed = [tokens[sets.bound[i] : sets.bound[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets.id.view(np.int64)), pa.array(packed, pa.binary())], names=["first", "id", "tokens"])
 
-    sets = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, tokens binary").join(firsts, ["first", "id"], "left_semi").dropDuplicates(["id"])
-    left = sets.select(F.col("id").alias("x"), F.col("first").alias("dx"), F.col("tokens").alias("tx"))
-    right = sets.select(F.col("id").alias("y"), F.col("first").alias("dy"), F.col("tokens").alias("ty"))
-    near = pairs.join(left, "x").join(right, "y").where("dx <> dy").select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), "tx", "ty")
-    near = near.mapInArrow(_verify, "doc_a bigint, doc_b bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
-    copies = members.join(content, "id").where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    wanted = pairs.select(F.col("x").alias("id"), F.col("dx").alias("first"), "home").union(pairs.select("y", "dy", "home")).distinct()
+    made = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, tokens binary")
+    wanted = cut(wanted)
+    sent = made.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["id", "first"])
+    none = F.lit(None).cast("bigint")
+    routed = sent.select(F.col("home").alias("bucket"), F.col("id").alias("x"), none.alias("y"), none.alias("dx"), none.alias("dy"), "tokens").union(
+        pairs.select("home", "x", "y", "dx", "dy", F.lit(None).cast("binary"))
+    )
+    near = by_bucket(routed, parts).mapInArrow(_verify, "dx bigint, dy bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
+    near = near.select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), "jaccard")
+    copies = members.join(content, "id").where("doc_id <> a").select(F.col("a").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
