@@ -100,9 +100,9 @@ def _places(values: np.ndarray, m: int) -> list[np.ndarray]:
     return [(a + np.uint64(k) * b) % np.uint64(m) for k in range(3)]
 
 
-def bloom(ids: DataFrame, column: str, log2_bits: int = 23) -> Filter:
-    """The filter of an integer column, built in parallel and merged; 2**log2_bits / 8 bytes."""
-    m = 1 << log2_bits
+def bloom(ids: DataFrame, column: str, most_log2_bits: int = 26) -> Filter:
+    """The filter of an integer column, built in parallel and merged: about 12 bits an id, 2**most_log2_bits at most (8 MB)."""
+    m = 1 << int(np.clip(np.ceil(np.log2(12 * max(ids.count(), 1))), 13, most_log2_bits))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(m, bool)
