@@ -211,6 +211,10 @@ WHERE field = 'text' AND levenshtein({_ASCII}, 'clwn') <= 2 AND term <> 'clwn' O
     "ngrams": "SELECT p_partkey, CASE WHEN p_name IS NULL THEN NULL WHEN length(p_name) < 3 THEN [] ELSE list_transform(range(1, length(p_name) - 1), lambda i: substring(p_name, i, 3)) END AS grams FROM part",
     "edge_ngrams": "SELECT p_partkey, CASE WHEN p_name IS NULL THEN NULL ELSE list_transform(range(2, least(6, length(p_name)) + 1), lambda i: left(p_name, i)) END AS grams FROM part",
     "shingles": f"WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents) SELECT doc_id, CASE WHEN t IS NULL THEN NULL ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' ')) END AS shingles FROM t",
+    "soundex_names": """WITH u AS (SELECT n_name, upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS up FROM nation),
+c AS (SELECT n_name, left(up, 1) AS f, string_split(translate(left(up, 1), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000') ||
+  replace(translate(substring(up, 2), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '111122222222334556000000--'), '-', ''), '') AS cs FROM u)
+SELECT n_name, CASE WHEN f = '' THEN '' ELSE f || left(array_to_string(list_transform(list_filter(range(2, len(cs) + 1), lambda i: cs[i] <> cs[i-1] AND cs[i] <> '0'), lambda i: cs[i]), '') || '000', 3) END AS code FROM c""",
     "levenshtein_pairs": f"SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS value {_NATIONS}",
     "jaro_pairs": f"SELECT a, b, round(jaro_similarity(a, b), 6) AS value {_NATIONS}",
     "jaro_winkler_pairs": f"""SELECT a, b, round(CASE WHEN j < 0.7 THEN j ELSE j + least(0.1::DOUBLE, 1.0::DOUBLE / greatest(length(a), length(b))) * p * (1 - j) END, 6) AS value
