@@ -17,14 +17,14 @@ A document is the set of its word n-grams (tokens).  All pairs with Jaccard simi
    meets at the level of its smaller set, and a set emits at every level its partners can have.
 3. Equal signatures meet in one partition; sets of equal content count once; size and position bounds are applied.  Each
    set names its three least signatures, and a pair is left to the least that both name.
-4. Candidates whose parity sketches differ in more places than the sets may are dropped; the token sets of
-   the others are sent, once each, to every partition in which they have a partner, and verified.  A pair is verified in the
+4. Candidates whose parity sketches differ in more places than the sets may are dropped; the token sets of the others
+   are verified.  Sketches and sets are sent, once each, to every partition in which they have a partner.  A pair is verified in the
    partition of the least hash of both sets, which the sets of one group mostly have in common.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import bloom, by_bucket, cut, mapper, packed_schema, partitions, unpack
+from ._spark import bloom, by_bucket, cut, packed_schema, partitions, unpack
 from ._text import DOCS, HASH, Words, chunks, member, mix, ngram_sets, ranges, runs
 
 N = 2
@@ -105,15 +105,18 @@ class _Counter:
         self.held.append(values)
         self.size += len(values)
         self.total += len(values)
-        if self.size > 2_000_000:
+        if self.size > 6_000_000:
             self.fold()
 
     def fold(self) -> None:
         fresh = np.concatenate([np.zeros(0, np.uint64), *self.held])
         fresh.sort()
         start, count = runs(fresh)
-        value, count = np.concatenate([self.value, fresh[start]]), np.concatenate([self.count, count])
         self.held, self.size = [], 0
+        if not len(self.value):
+            self.value, self.count = fresh[start], count
+            return
+        value, count = np.concatenate([self.value, fresh[start]]), np.concatenate([self.count, count])
         order = np.argsort(value, kind="stable")
         start = runs(value[order])[0]
         self.value = value[order][start]
@@ -215,6 +218,7 @@ def signatures(sets: Sets, table: np.ndarray, count: np.ndarray, many: float, t:
     return row, sig, pos
 
 
+PARTS = 8  # shares in which a partition joins its signatures
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -280,7 +284,8 @@ class _Sender:
 
 def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.ndarray, words: WordLevels, many: float) -> DataFrame:
     """Distinct pairs (x, y) of content ids that share a signature and pass the bounds."""
-    parts = partitions(docs.sparkSession)
+    # packed signatures are small beside rows, and what a set says of itself is repeated in each bucket
+    parts = max(1, partitions(docs.sparkSession) // 2)
     shared = docs.sparkSession.sparkContext.broadcast((table, count, words))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,21 +297,16 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
                 yield from sender.add(sets, *signatures(sets, table, count, many, t))
         yield from sender.flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpack(batches, {"id": "u8", "size": "i4", "low": "u4", "n": "i4", "sig": "u1", "pos": "i4"})
-        wide = np.zeros((len(got["pos"]), 8), np.uint8)
-        wide[:, :6] = got["sig"].reshape(-1, 6)
-        sig = wide.view("<u8")[:, 0]
+    def join(sig: np.ndarray, head: np.ndarray, pos: np.ndarray, content: np.ndarray, sizes: np.ndarray, low: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(sig, kind="stable")
         start, length = runs(sig[order])
         order = order[np.repeat(length > 1, length)]  # most signatures are met once
-        ids, content = np.unique(got["id"], return_inverse=True)
-        head = np.repeat(np.arange(len(got["n"])), got["n"])[order]
-        sig, pos, who, size = sig[order], got["pos"][order], content[head], got["size"][head].astype(np.int64)
+        sig, pos, head = sig[order], pos[order], head[order]
+        who, size = content[head], sizes[head].astype(np.int64)
         order = np.lexsort((who, size, sig))
         order = order[np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(who[order]) != 0)])] if len(order) else order
         sig, who, size, pos, head = (x[order] for x in (sig, who, size, pos, head))
-        low, rank = got["low"].reshape(-1, 3), rank_of(sig)
+        rank = rank_of(sig)
         start, length = runs(sig)
         last = np.repeat(start + length, length) - 1
         found, held, active, d = [np.zeros(0, np.uint64)], 0, np.arange(len(sig)), 1
@@ -335,39 +335,64 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
             d += 1
         pair = np.unique(np.concatenate(found))
         x, y = ids[(pair >> np.uint64(32)).astype(np.int64)], ids[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
+        return x, y
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = unpack(batches, {"id": "u8", "size": "i4", "low": "u4", "n": "i4", "sig": "u1", "pos": "i4"})
+        wide = np.zeros((len(got["pos"]), 8), np.uint8)
+        wide[:, :6] = got["sig"].reshape(-1, 6)
+        every = wide.view("<u8")[:, 0]
+        ids, content = np.unique(got["id"], return_inverse=True)
+        heads = np.repeat(np.arange(len(got["n"]), dtype=np.int32), got["n"])
+        for part in range(PARTS):  # one share of the signatures after the other, to hold less at once
+            own = np.flatnonzero((every >> np.uint64(44)) % np.uint64(PARTS) == part)
+            x, y = join(every[own], heads[own], got["pos"][own], content, got["size"], got["low"].reshape(-1, 3), ids)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
 
     packed = _texts(docs).mapInArrow(emit, packed_schema(list(_Sender.names)))
     return by_bucket(packed, parts).mapInArrow(meet, "x bigint, y bigint").distinct()
 
 
-def _alike(t: float):
-    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not batch.num_rows:
-            return
-        size = batch.column("sx").to_numpy() + batch.column("sy").to_numpy()
-        differ = np.empty(len(size), np.int64)
-        for i, (x, y) in enumerate(zip(batch.column("kx").to_pylist(), batch.column("ky").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            if len(x) < len(y):
-                x, y = y, x
-            while len(x) > len(y):  # the sketch of half the size
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            differ[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64)
-        good = differ <= size - 2 * _ceil(t / (1 + t) * size)
-        yield batch.filter(pa.array(good)).select(["x", "y", "dx", "dy", "home"])
+def _by_home(pairs: DataFrame, data: DataFrame, parts: int) -> DataFrame:
+    """Pairs (x, y, dx, dy, home) and, once for each home that needs it, (id, home, data), in the partition of the home."""
+    none = F.lit(None).cast("bigint")
+    sent = data.select(F.col("home").alias("bucket"), F.col("id").alias("x"), none.alias("y"), none.alias("dx"), none.alias("dy"), "data")
+    return by_bucket(sent.union(pairs.select("home", "x", "y", "dx", "dy", F.lit(None).cast("binary"))), parts)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, bytes], list[pa.RecordBatch]]:
+    data: dict[int, bytes] = {}
+    pairs: list[pa.RecordBatch] = []
+    for b in batches:
+        own = b.filter(b.column("data").is_valid())
+        data.update(zip(own.column("x").to_pylist(), own.column("data").to_pylist(), strict=True))
+        pairs.append(b.filter(b.column("data").is_null()))
+    return data, pairs
+
+
+def _alike(t: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the pairs whose sketches, behind 8 bytes of size, don't rule out the similarity t."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs = _held(batches)
+        known = {i: (int.from_bytes(d[:8], "big"), np.frombuffer(d, np.uint8, offset=8)) for i, d in held.items()}
+        for b in pairs:
+            good = np.empty(len(b), bool)
+            for i, (p, q) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
+                (n, x), (m, y) = known[p], known[q]
+                if len(x) < len(y):
+                    x, y = y, x
+                while len(x) > len(y):  # the sketch of half the size
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                need = int(np.ceil(np.round(t / (1 + t) * (n + m), 9)))
+                good[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= n + m - 2 * need
+            yield b.filter(pa.array(good)).select(["x", "y", "dx", "dy", "bucket"]).rename_columns(["x", "y", "dx", "dy", "home"])
 
     return of
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[int, bytes] = {}
-    pairs: list[pa.RecordBatch] = []
-    for b in batches:
-        for i, tokens in zip(b.column("x").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-            if tokens is not None:
-                sets[i] = tokens
-        pairs.append(b.filter(b.column("tokens").is_null()))
+    sets, pairs = _held(batches)
     for b in pairs:
         out = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
@@ -381,6 +406,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("dx"), b.column("dy"), pa.array(out, pa.float64())], names=["dx", "dy", "jaccard"])
 
 
+def _wanted(pairs: DataFrame) -> DataFrame:
+    """(id, first, home): where each content is needed, and its earliest document."""
+    return pairs.select(F.col("x").alias("id"), F.col("dx").alias("first"), "home").union(pairs.select("y", "dy", "home")).distinct()
+
+
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
     """(doc_a, doc_b, jaccard) with doc_a < doc_b: documents whose n-gram sets are similar.
 
@@ -398,20 +428,22 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
     stats = cut(_statistics(docs, n, frequent, frequent_word))
     members = stats.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("id"))
     total = members.count()
-    often = stats.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where(F.col("b") >= least_frequent).orderBy(F.desc("b"), "a").limit(MOST_FREQUENT).collect()
-    table = np.array([r.a for r in often], np.int64).view(np.uint64)
-    order = np.argsort(table)
-    table, count = table[order], np.array([r.b for r in often], np.int64)[order]
+    often = stats.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where(F.col("b") >= least_frequent).orderBy(F.desc("b"), "a").limit(MOST_FREQUENT).toArrow()
+    table, count = (often.column(c).to_numpy() for c in ("a", "b"))
+    order = np.argsort(table.view(np.uint64))
+    table, count = table.view(np.uint64)[order], count[order]
     occurring = stats.where("kind > 1").groupBy("kind", "a").agg(F.sum("b").alias("b"))
     spoken = max(1, sum(r.b for r in occurring.where("kind = 3").collect()))
     common = occurring.where((F.col("kind") == 2) & (F.col("b") >= frequent_word * spoken)).collect()
     words = WordLevels(np.array([r.a for r in common], np.int64).view(np.uint64), np.array([r.b for r in common], np.float64) / spoken, frequent_word)
     content = stats.where("kind = 0").groupBy(F.col("b").alias("id")).agg(*[F.min(c).alias(c) for c in ("a", "size", "least", "sketch")])
-    x, y = (content.select(F.col("id").alias(k), F.col("a").alias("d" + k), F.col("size").alias("s" + k), F.col("sketch").alias("k" + k), F.col("least").alias("l" + k)) for k in "xy")
+    x, y = (content.select(F.col("id").alias(k), F.col("a").alias("d" + k), F.col("least").alias("l" + k)) for k in "xy")
     parts = partitions(docs.sparkSession)
     met = _candidates(docs, n, threshold, table, count, words, very_frequent * total).join(x, "x").join(y, "y").where("dx <> dy")
-    met = met.withColumn("home", F.pmod(F.least("lx", "ly"), F.lit(parts)).cast("int")).select("x", "y", "dx", "dy", "home", "sx", "sy", "kx", "ky")
-    pairs = cut(met.mapInArrow(mapper(_alike(threshold)), "x bigint, y bigint, dx bigint, dy bigint, home int"))
+    met = cut(met.select("x", "y", "dx", "dy", F.pmod(F.least("lx", "ly"), F.lit(parts)).cast("int").alias("home")))
+    size = F.unhex(F.lpad(F.hex("size"), 16, "0"))  # 8 bytes
+    sketches = content.join(_wanted(met), "id").select("id", "home", F.concat(size, "sketch").alias("data"))
+    pairs = cut(_by_home(met, sketches, parts).mapInArrow(_alike(threshold), "x bigint, y bigint, dx bigint, dy bigint, home int"))
 
     firsts = pairs.select(F.col("x").alias("id"), F.col("dx").alias("first")).union(pairs.select("y", "dy")).distinct()
     maybe = docs.sparkSession.sparkContext.broadcast(bloom(firsts, "first"))
@@ -423,17 +455,12 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
                 sets = Sets(batch.column(1)[a:b], n)
                 tokens = (mix(sets.token & HASH) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 packed = [tokens[sets.bound[i] : sets.bound[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets.id.view(np.int64)), pa.array(packed, pa.binary())], names=["first", "id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets.id.view(np.int64)), pa.array(packed, pa.binary())], names=["first", "id", "data"])
 
-    wanted = pairs.select(F.col("x").alias("id"), F.col("dx").alias("first"), "home").union(pairs.select("y", "dy", "home")).distinct()
-    made = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, tokens binary")
-    wanted = cut(wanted)
+    wanted = cut(_wanted(pairs))
+    made = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, data binary")
     sent = made.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["id", "first"])
-    none = F.lit(None).cast("bigint")
-    routed = sent.select(F.col("home").alias("bucket"), F.col("id").alias("x"), none.alias("y"), none.alias("dx"), none.alias("dy"), "tokens").union(
-        pairs.select("home", "x", "y", "dx", "dy", F.lit(None).cast("binary"))
-    )
-    near = by_bucket(routed, parts).mapInArrow(_verify, "dx bigint, dy bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
+    near = _by_home(pairs, sent, parts).mapInArrow(_verify, "dx bigint, dy bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
     near = near.select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), "jaccard")
     copies = members.join(content, "id").where("doc_id <> a").select(F.col("a").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
