@@ -47,3 +47,24 @@ def test_pipeline(spark, tmp_path):
     assert set(third) - set(fourth) == {3002}
     result = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert set(result) == set(fourth) and all(r.round_trip and r.n_tokens == len(r.ids) > 0 for r in result.values())
+
+
+def test_odd_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows = [(i, document(rnd, True), None, None, None) for i in range(20)] + [(None, document(rnd, True), "en", "s", 3), (30, None, None, None, 1), (3, None, "en", None, 1), (31, " \n ", "en", "s", 3)]
+    rows += [(32, "\n".join(sentence(rnd) for _ in range(20_000)), "en", "s", 1)] + [rows[0]] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("quality", "gone", "row", "id", "home", "bucket", "tokens", "ids", "item_id", "kind"):
+        docs = docs.withColumn(c, F.lit("own"))
+    spark.createDataFrame([(1, 1), (2, None), (None, 0), (3, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, "x"), (1, None), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+        out = stage(spark, docs, str(tmp_path)).cache()
+        if name != "bpe":
+            assert out.columns == docs.columns and {r["home"] for r in out.collect()} == {"own"}
+        assert {None, 0, 32} <= {r.doc_id for r in out.collect()}, name
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
