@@ -28,19 +28,29 @@ _KEPT = "|".join(f"({b}){a[len(b):]}" for a, b in (x.split(":") for x in _TRIMME
 _REST = "|".join(_DROPPED)
 _VC = "[aeiou][^aeiou]"
 
+_ENDINGS = "|".join(sorted({x[-2:] for x in _SUFFIXES}))
+
+
+def _if_ends(*ends: str) -> str:
+    """Fails at once where the word ends otherwise; without it the pattern behind would try every way to split."""
+    return f"^(?=.*+(?:{'|'.join(f'(?<={e})' for e in ends)}))"
+
+
+_IF_MARKED = f"^(?=[^{_M}]*+{_M})"
+
 #: (pattern, replacement) one after the other; the mark stands where a suffix was cut off
 STEPS = (
     (r"(?:(?<=ss)es|(?<=i)es|(?<!s)s)$", ""),
-    (rf"^(.*{_VC}.*)eed$", "$1ee"),
-    (r"^(.*[aeiou].*)(?:(?<!e)ed|ing)$", f"$1{_M}"),
+    (rf"{_if_ends('eed')}(.*{_VC}.*)eed$", "$1ee"),
+    (rf"{_if_ends('ed', 'ing')}(.*[aeiou].*)(?:(?<!e)ed|ing)$", f"$1{_M}"),
     (rf"(at|bl|iz){_M}$", "$1e"),
     (rf"([b-df-hjkmnp-rtv-y0-9])\1{_M}$", "$1"),
     (rf"{_M}$", ""),
-    (rf"^(.*?)({'|'.join(_SUFFIXES)})$", f"$1{_M}$2"),
-    (rf"^(.*{_VC}.*){_M}(?:(at)ional|(iz)ation)$", "$1$2$3e"),
-    (rf"^(.*{_VC}.*){_M}(?:{_KEPT}|{_REST})$", "$1$2$3$4$5$6$7$8$9"),
+    (rf"{_if_ends(_ENDINGS)}(.*?)({'|'.join(_SUFFIXES)})$", f"$1{_M}$2"),
+    (rf"{_IF_MARKED}(.*{_VC}.*){_M}(?:(at)ional|(iz)ation)$", "$1$2$3e"),
+    (rf"{_IF_MARKED}(.*{_VC}.*){_M}(?:{_KEPT}|{_REST})$", "$1$2$3$4$5$6$7$8$9"),
     (_M, ""),
-    (rf"^(.*{_VC}.*{_VC}.*)e$", "$1"),
+    (rf"{_if_ends('e')}(.*{_VC}.*{_VC}.*)e$", "$1"),
 )
 
 
