@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copied lines go, and documents of which nothing else is left; n_chars follows the text."""
-    kept = line_dedup.without_copies(docs).where("n_dropped = 0 or trim(both ' \t\r\n' from text) <> ''")
+    kept = line_dedup.without_copies(docs, min_words=1).where("n_dropped = 0 or trim(both ' \t\r\n' from text) <> ''")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)

@@ -96,7 +96,8 @@ _OUT = "kind int, doc_id bigint, line_no int, hash bigint"
 def copies(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, line_no) of every line occurrence, numbered from 0, of which an earlier copy exists.
 
-    Lines of fewer than `min_words` words never take part; lines of fewer than `near_words` match only exactly.
+    Lines of fewer than `min_words` words never take part, so with 1 every line with words does; lines of fewer than
+    `near_words` match only exactly.
     Rows without doc_id or text take no part.  Rows that share a doc_id share the fate of each line number:
     equal lines at one (doc_id, line number) tie, and none of them is earlier.  Other columns are not read.
     """
@@ -224,4 +225,4 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_dropped")
+    return without_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1).select("doc_id", "text", "n_dropped")

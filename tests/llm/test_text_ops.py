@@ -202,3 +202,13 @@ def test_windows_edges(spark):
     assert decontaminate.contaminated(docs.limit(0), items).collect() == [] and decontaminate.contaminated(docs, items.limit(0)).collect() == []
     kept = decontaminate.clean(docs, items)
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 6] and kept.columns == docs.columns
+
+
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "Les.\nAnd ornd.\n--\na line of its own"), (2, "les\n--"), (3, "Les.\nLes.\nand, ornd"), (4, "Lest.\nornd and")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("--", 1), 3: ("", 3), 4: (rows[3][1], 0)}
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in pipeline.lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "--", 4: rows[3][1]}
