@@ -403,7 +403,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             out.append(common / (len(both) - common))
-        yield pa.RecordBatch.from_arrays([b.column("dx"), b.column("dy"), pa.array(out, pa.float64())], names=["dx", "dy", "jaccard"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "dx", "dy")), pa.array(out, pa.float64())], names=["x", "y", "dx", "dy", "jaccard"])
 
 
 def _wanted(pairs: DataFrame) -> DataFrame:
@@ -411,18 +411,9 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("id"), F.col("dx").alias("first"), "home").union(pairs.select("y", "dy", "home")).distinct()
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b: documents whose n-gram sets are similar.
-
-    Documents with equal sets are one content, known by its earliest doc_id.  The rows are every pair of contents
-    with similarity >= threshold, as their earliest documents, and one row (earliest, copy, 1.0) for each other
-    document of a content: the similarity of any pair follows from these, and the result stays linear in the number of copies.
-
-    Rows without doc_id or text, and texts without words, pair with nothing.  A text of fewer than n words is the set of the
-    one token of all its words.  A repeated row adds nothing.  Rows that share a doc_id but not the text
-    are contents of their own; they never give a pair of a doc_id with itself.
-    Columns beyond doc_id and text are not read.  An empty table gives an empty result.
-    """
+def _contents(docs: DataFrame, threshold: float, n: int, frequent: float, very_frequent: float, least_frequent: int, frequent_word: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(x, y, dx, dy, jaccard): the similar pairs of contents x and y, whose earliest documents are dx and dy;
+    (doc_id, id): the content of each row; (id, a): the earliest document of each content."""
     if not 0.4 <= threshold <= 1:
         raise ValueError("the groups of frequent tokens are laid out for thresholds from 0.4 to 1")
     stats = cut(_statistics(docs, n, frequent, frequent_word))
@@ -439,7 +430,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
     content = stats.where("kind = 0").groupBy(F.col("b").alias("id")).agg(*[F.min(c).alias(c) for c in ("a", "size", "least", "sketch")])
     x, y = (content.select(F.col("id").alias(k), F.col("a").alias("d" + k), F.col("least").alias("l" + k)) for k in "xy")
     parts = partitions(docs.sparkSession)
-    met = _candidates(docs, n, threshold, table, count, words, very_frequent * total).join(x, "x").join(y, "y").where("dx <> dy")
+    met = _candidates(docs, n, threshold, table, count, words, very_frequent * total).join(x, "x").join(y, "y")
     met = cut(met.select("x", "y", "dx", "dy", F.pmod(F.least("lx", "ly"), F.lit(parts)).cast("int").alias("home")))
     size = F.unhex(F.lpad(F.hex("size"), 16, "0"))  # 8 bytes
     sketches = content.join(_wanted(met), "id").select("id", "home", F.concat(size, "sketch").alias("data"))
@@ -460,12 +451,45 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
     wanted = cut(_wanted(pairs))
     made = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, data binary")
     sent = made.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["id", "first"])
-    near = _by_home(pairs, sent, parts).mapInArrow(_verify, "dx bigint, dy bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
-    near = near.select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), "jaccard")
+    near = _by_home(pairs, sent, parts).mapInArrow(_verify, "x bigint, y bigint, dx bigint, dy bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
+    return near, members, content
+
+
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
+    """(doc_a, doc_b, jaccard) with doc_a < doc_b: documents whose n-gram sets are similar.
+
+    Documents with equal sets are one content, known by its earliest doc_id.  The rows are every pair of contents
+    with similarity >= threshold, as their earliest documents, and one row (earliest, copy, 1.0) for each other
+    document of a content: the similarity of any pair follows from these, and the result stays linear in the number of copies.
+    all_pairs() has the rows that follow, too.
+
+    Rows without doc_id or text, and texts without words, pair with nothing.  A text of fewer than n words is the set of the
+    one token of all its words.  A repeated row adds nothing.  Rows that share a doc_id but not the text
+    are contents of their own; they never give a pair of a doc_id with itself.
+    Columns beyond doc_id and text are not read.  An empty table gives an empty result.
+    """
+    near, members, content = _contents(docs, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
+    near = near.where("dx <> dy").select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), "jaccard")
     copies = members.join(content, "id").where("doc_id <> a").select(F.col("a").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
+    """(doc_a, doc_b, jaccard) with doc_a < doc_b: as similar_pairs(), but every pair of similar documents has its row,
+    those of copies with each other and with the near copies of their content among them.
+    """
+    near, members, _ = _contents(docs, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
+    members = cut(members.distinct())
+    p, q = (members.select(F.col("id").alias(k), F.col("doc_id").alias("p" + k)) for k in "xy")
+    near = near.select("x", "y", "jaccard").join(p, "x").join(q, "y").where("px <> py")
+    same = p.join(q, F.col("x") == F.col("y")).where("px < py").withColumn("jaccard", F.lit(1.0))
+    every = near.select("px", "py", "jaccard").union(same.select("px", "py", "jaccard"))
+    every = every.select(F.least("px", "py").alias("doc_a"), F.greatest("px", "py").alias("doc_b"), "jaccard")
+    if members.groupBy("doc_id").count().where("count > 1").isEmpty():  # each document has one content, so no pair comes twice
+        return every
+    return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, first): the earliest document of each connected group, for every other member, by alternating stars."""
     edges = cut(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).distinct())
@@ -494,4 +518,4 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return all_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))

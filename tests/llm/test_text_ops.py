@@ -212,3 +212,21 @@ def test_short_lines(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.text for r in pipeline.lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "--", 4: rows[3][1]}
+
+
+def test_pairs_of_copies(spark, tmp_path):
+    rnd = random.Random(3)
+    voc = [f"w{i}" for i in range(200)]
+    texts = [[rnd.choice(voc) for _ in range(rnd.choice((1, 5, 20, 60)))] for _ in range(12)]
+    texts += [changed(rnd, w, voc, 0.05) for w in texts]
+    rows = [(i, " ".join(rnd.choice(texts))) for i in range(90)]
+    rows += [(i, " ".join(w)) for i in (200, 200, 201) for w in texts[2:4]] + [(300, " ".join(texts[14])), (200, " ".join(texts[14])), (301, ""), (None, rows[0][1])]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for (i, a), (k, b) in combinations(sorted({(i, sets(t, 2)) for i, t in rows if i is not None and t}, key=lambda r: r[0]), 2):
+        j = len(a & b) / len(a | b)
+        if i != k and round(j, 9) >= 0.6:
+            want[i, k] = max(j, want.get((i, k), 0))
+    got = jaccard.op4_jaccard_join(spark, str(tmp_path)).collect()
+    assert {(r.doc_a, r.doc_b) for r in got} == want.keys() and len(got) == len(want)
+    assert all(abs(r.jaccard - want[r.doc_a, r.doc_b]) < 1e-12 for r in got)
