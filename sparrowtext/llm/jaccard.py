@@ -17,14 +17,17 @@ A document is the set of its word n-grams (tokens).  All pairs with Jaccard simi
    meets at the level of its smaller set, and a set emits at every level its partners can have.
 3. Equal signatures meet in one partition; sets of equal content count once; size and position bounds are applied.  Each
    set names its three least signatures, and a pair is left to the least that both name.
-4. Candidates whose parity sketches differ in more places than the sets may are dropped; the token sets of the others
-   are verified.  Sketches and sets are sent, once each, to every partition in which they have a partner.  A pair is verified in the
-   partition of the least hash of both sets, which the sets of one group mostly have in common.
+4. A candidate pair is verified in the tile of the least neighbour of either set, which the sets of a group mostly have in
+   common, so that few tiles need the same set.  A set with many candidates splits its tiles into blocks of both sides, so that none
+   of them is large, however large the group.  Token sets of 64-bit hashes are sent once to each tile that needs them.
+5. Of the similar pairs in a tile only the sum of links of each set and a star of each connected part leave it: what follows is
+   linear in the documents, whatever the number of pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import bloom, by_bucket, cut, packed_schema, partitions, unpack
-from ._text import DOCS, HASH, Words, chunks, member, mix, ngram_sets, ranges, runs
+from ._text import HASH, Segments, Words, chunks, flat, member, mix, ngram_sets, ngrams, ranges, runs
 
 N = 2
 THRESHOLD = 0.6
@@ -41,11 +44,17 @@ FREQUENT = 0.0002  # share of a partition's documents, 3 at least, from which a
 VERY_FREQUENT = 0.02  # share of all documents from which triples are used
 LEAST_FREQUENT = 8  # documents
 MOST_FREQUENT = 1_000_000  # tokens in the broadcast table, 16 MB
-BROADCAST_ROWS = 1_000_000  # of (set, partition), 20 MB; beyond that the sets are shuffled to their partitions in two steps
-LEAST_PARITIES = 256  # bits of a sketch; larger sets have 2 to 4 bits a token
+BROADCAST_ROWS = 1_000_000  # of (set, tile), 40 MB; beyond that the sets are shuffled to their tiles in two steps
+TILE_SETS = 1024  # candidates of a set from which its tiles are split into blocks
+TILE_BYTES = 16 << 20  # token sets that are verified at once, where a tile isn't larger
+PART_BYTES = 48 << 20  # of signatures or sets in one partition
+SIGNATURE_BYTES = 8  # for each token of a set, by experience
 FREQUENT_WORD = 0.0001  # share of all words; the rarer ones count alike
 
 
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+
+
 def _ceil(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.round(x, 9)).astype(np.int64)
 
@@ -74,23 +83,34 @@ class Sets:
         self.row, self.token = ngram_sets(texts, n, words)
         self.bound = np.searchsorted(self.row, np.arange(len(texts) + 1))
         self.size = np.diff(self.bound)
-        sums = np.zeros(len(self.token) + 1, np.uint64)
-        np.cumsum(mix(self.token & HASH), out=sums[1:])
-        self.id = mix((sums[self.bound[1:]] - sums[self.bound[:-1]]) ^ mix(self.size.astype(np.uint64)))
-
-    def sketches(self, some: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Of the rows `some`, none of them empty: the least hash, and the parities of hash buckets.
+        self.id = mix(self._sum(np.uint64(0)) ^ mix(self.size.astype(np.uint64)))
 
-        Each token of one set that isn't in the other flips one parity, so the parities of two sets differ in at most
-        as many places as the sets have tokens that aren't shared.
-        """
-        h = mix(self.token & HASH)
-        least = np.minimum.reduceat(h, self.bound[some])
-        places = np.maximum(LEAST_PARITIES, 2 ** np.ceil(np.log2(np.maximum(2 * self.size, 1))).astype(np.int64))
-        base = np.concatenate([[0], np.cumsum(places)])
-        at = base[self.row] + ((h >> np.uint64(20)).astype(np.int64) & (places[self.row] - 1))
-        bits = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(bool))
-        return least, [bits[base[i] >> 3 : base[i + 1] >> 3].tobytes() for i in some.tolist()]
+    def _sum(self, salt: np.uint64) -> np.ndarray:
+        sums = np.zeros(len(self.token) + 1, np.uint64)
+        np.cumsum(mix((self.token & HASH) ^ salt), out=sums[1:])
+        return sums[self.bound[1:]] - sums[self.bound[:-1]]
+
+    def other(self) -> np.ndarray:
+        """A second content id, of other hashes of the tokens."""
+        return mix(self._sum(_OTHER))
+
+
+def verified_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit token hashes of some texts, one after the other, and where each begins."""
+    words = Words(texts)
+    at, h = ngrams(words, n)
+    doc = words.doc[at]
+    count = np.diff(words.bound)
+    short = np.flatnonzero((count > 0) & (count < n))
+    if len(short):
+        lo, hi = words.bound[short], words.bound[short + 1]
+        h = np.concatenate([h, mix(Segments(words.hash)(lo, hi) + count[short].astype(np.uint64))])
+        doc = np.concatenate([doc, short])
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
 class _Counter:
@@ -129,20 +149,17 @@ class _Counter:
 
 
 def _statistics(docs: DataFrame, n: int, frequent: float, frequent_word: float) -> DataFrame:
-    """kind 0: (doc_id, content id, size) of each text with words; 1: (token, documents) frequent in a partition;
-    2: (word, occurrences) frequent in a partition; 3: (0, words) of a partition."""
+    """kind 0: (doc_id, content id, size, other content id) of each text with words; 1: (token, documents) frequent in a
+    partition; 2: (word, occurrences) frequent in a partition; 3: (0, words) of a partition."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, tokens, words = 0, _Counter(), _Counter()
 
-        def rows(kind: int, a: np.ndarray | pa.Array, b: np.ndarray, size: np.ndarray | None = None, least: np.ndarray | None = None, sketch: list[bytes] | None = None) -> pa.RecordBatch:
-            a = a if isinstance(a, pa.Array) else pa.array(a.view(np.int64))
-            none = np.zeros(len(a), np.int64)
-            size, least = (none if x is None else x.view(np.int64) for x in (size, least))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b.view(np.int64)), pa.array(size), pa.array(least), pa.array(sketch or [None] * len(a), pa.binary())],
-                names=["kind", "a", "b", "size", "least", "sketch"],
-            )
+        def rows(kind: int, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+            k = len(columns[0])
+            made = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64)) for c in columns]
+            made += [pa.nulls(k, pa.int64())] * (4 - len(made))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *made], names=["kind", "a", "b", "size", "other"])
 
         for batch in batches:
             ids = batch.column(0)
@@ -152,13 +169,12 @@ def _statistics(docs: DataFrame, n: int, frequent: float, frequent_word: float)
                 tokens.add(sets.token)
                 total += b - a
                 some = np.flatnonzero(sets.size)
-                if len(some):
-                    yield rows(0, ids[a:b].take(pa.array(some)), sets.id[some], sets.size[some], *sets.sketches(some))
+                yield rows(0, ids[a:b].take(pa.array(some)), sets.id[some], sets.size[some], sets.other()[some])
         for kind, (value, count) in ((1, tokens.least(max(3, frequent * total))), (2, words.least(max(2, frequent_word * words.total)))):
             yield rows(kind, value, count)
         yield rows(3, np.zeros(1, np.int64), np.array([words.total]))
 
-    return _texts(docs).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, least bigint, sketch binary")
+    return _texts(docs).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, other bigint")
 
 
 def level(size: int) -> int:
@@ -282,10 +298,10 @@ class _Sender:
         yield pa.RecordBatch.from_arrays(out, names=["bucket", *self.names])
 
 
-def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.ndarray, words: WordLevels, many: float) -> DataFrame:
-    """Distinct pairs (x, y) of content ids that share a signature and pass the bounds."""
-    # packed signatures are small beside rows, and what a set says of itself is repeated in each bucket
-    parts = max(1, partitions(docs.sparkSession) // 2)
+def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.ndarray, words: WordLevels, many: float, tokens: int) -> DataFrame:
+    """Distinct pairs (x, y) of content ids that share a signature and pass the bounds; tokens: of all sets."""
+    # what a set says of itself is repeated in each bucket
+    parts = min(60_000, max(1, partitions(docs.sparkSession) // 2, SIGNATURE_BYTES * tokens // PART_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast((table, count, words))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,106 +369,153 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
     return by_bucket(packed, parts).mapInArrow(meet, "x bigint, y bigint").distinct()
 
 
-def _by_home(pairs: DataFrame, data: DataFrame, parts: int) -> DataFrame:
-    """Pairs (x, y, dx, dy, home) and, once for each home that needs it, (id, home, data), in the partition of the home."""
-    none = F.lit(None).cast("bigint")
-    sent = data.select(F.col("home").alias("bucket"), F.col("id").alias("x"), none.alias("y"), none.alias("dx"), none.alias("dy"), "data")
-    return by_bucket(sent.union(pairs.select("home", "x", "y", "dx", "dy", F.lit(None).cast("binary"))), parts)
-
-
-def _held(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, bytes], list[pa.RecordBatch]]:
-    data: dict[int, bytes] = {}
-    pairs: list[pa.RecordBatch] = []
-    for b in batches:
-        own = b.filter(b.column("data").is_valid())
-        data.update(zip(own.column("x").to_pylist(), own.column("data").to_pylist(), strict=True))
-        pairs.append(b.filter(b.column("data").is_null()))
-    return data, pairs
+def _verifier(t: float, links: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs and the sets that they need, tile by tile in, similar ones out: as pairs, or as links and stars.
 
+    links: (0, content, links) for each content, partial sums; (1, u, v) with u < v: documents that are in one part.
+    """
 
-def _alike(t: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keeps the pairs whose sketches, behind 8 bytes of size, don't rule out the similarity t."""
+    def verified(held: list[pa.RecordBatch], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        sets = pa.Table.from_batches(held)
+        ids, pick = np.unique(sets["x"].to_numpy(), return_index=True)
+        raw = sets["data"].take(pa.array(pick)).combine_chunks()
+        data, off = flat(raw)
+        size = np.diff(off) // 8
+        begin = off[:-1] // 8
+        token = np.unique(np.ascontiguousarray(data).view("<u8"), return_inverse=True)[1].astype(np.int32)
+        first, docs = (sets[c].to_numpy()[pick] for c in ("first", "n_docs"))
+        x, y = np.searchsorted(ids, np.concatenate(pairs, axis=1))
+        key = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)) if len(x) else np.zeros(0, np.int64)
+        x, y = (key // len(ids), key % len(ids)) if len(key) else (key, key)
+        mark, common = np.zeros(int(token.max(initial=0)) + 1, np.uint8), np.zeros(len(x), np.int64)
+        start, length = runs(x)
+        for s, k in zip(start.tolist(), length.tolist(), strict=True):
+            i = x[s]
+            own = token[begin[i] : begin[i] + size[i]]
+            mark[own] = 1
+            while k:  # the partners of a set, some at a time
+                n = max(1, int(np.searchsorted(np.cumsum(size[y[s : s + k]]), 4_000_000, "right")))
+                other = y[s : s + n] if n < k else y[s : s + k]
+                at = np.concatenate([[0], np.cumsum(size[other])[:-1]])
+                common[s : s + len(other)] = np.add.reduceat(mark[token[ranges(begin[other], size[other])]], at, dtype=np.int64)
+                s, k = s + len(other), k - len(other)
+            mark[own] = 0
+        jaccard = common / (size[x] + size[y] - common)
+        good = np.round(jaccard, 9) >= t
+        x, y, jaccard = x[good], y[good], jaccard[good]
+        if not links:
+            return pa.RecordBatch.from_arrays([pa.array(first[x]), pa.array(first[y]), pa.array(jaccard)], names=["x", "y", "jaccard"])
+        n = np.bincount(x, weights=docs[y], minlength=len(ids)) + np.bincount(y, weights=docs[x], minlength=len(ids))
+        order = np.argsort(first, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        low, u, v = np.arange(len(ids)), place[x], place[y]
+        while True:
+            least = np.minimum(low[u], low[v])
+            new = low.copy()
+            np.minimum.at(new, u, least)
+            np.minimum.at(new, v, least)
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        linked, leaf = np.flatnonzero(n), np.flatnonzero(first[order] != first[order][low])
+        kind = np.repeat([0, 1], [len(linked), len(leaf)]).astype(np.int32)
+        a = np.concatenate([ids[linked], first[order][low][leaf]])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(np.concatenate([n[linked].astype(np.int64), first[order][leaf]]))], names=["kind", "a", "b"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pairs = _held(batches)
-        known = {i: (int.from_bytes(d[:8], "big"), np.frombuffer(d, np.uint8, offset=8)) for i, d in held.items()}
-        for b in pairs:
-            good = np.empty(len(b), bool)
-            for i, (p, q) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                (n, x), (m, y) = known[p], known[q]
-                if len(x) < len(y):
-                    x, y = y, x
-                while len(x) > len(y):  # the sketch of half the size
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                need = int(np.ceil(np.round(t / (1 + t) * (n + m), 9)))
-                good[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= n + m - 2 * need
-            yield b.filter(pa.array(good)).select(["x", "y", "dx", "dy", "bucket"]).rename_columns(["x", "y", "dx", "dy", "home"])
+        sets: list[pa.RecordBatch] = []
+        pairs: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        size, last = 0, None
+
+        def hold(b: pa.RecordBatch) -> None:
+            nonlocal size
+            pair = b.column("data").is_null()
+            own, sets_ = b.filter(pair), b.filter(b.column("data").is_valid())
+            sets.append(sets_)
+            pairs.append(np.stack([own.column(c).to_numpy() for c in ("x", "y")]))
+            size += sets_.nbytes + pairs[-1].nbytes
+
+        for b in batches:
+            tile = b.column("tile").to_numpy()
+            if size >= TILE_BYTES and len(tile):
+                end = int(np.count_nonzero(tile == last))  # the rest of the tile that is open
+                hold(b.slice(0, end))
+                b = b.slice(end)
+                if len(b):
+                    yield verified(sets, pairs)
+                    sets, pairs, size = [], [np.zeros((2, 0), np.int64)], 0
+            if len(b):
+                hold(b)
+                last = tile[-1]
+        if sets:
+            yield verified(sets, pairs)
 
     return of
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets, pairs = _held(batches)
-    for b in pairs:
-        out = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            raw = np.frombuffer(sets[x] + sets[y], np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :5] = raw
-            both = wide.view("<u8")[:, 0]
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(common / (len(both) - common))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "dx", "dy")), pa.array(out, pa.float64())], names=["x", "y", "dx", "dy", "jaccard"])
-
+@dataclass(frozen=True)
+class _Found:
+    """members (doc_id, id, other): the content of each document; content (id, other, first, n_docs): its earliest document and
+    their number; rows: what _verifier() gives."""
 
-def _wanted(pairs: DataFrame) -> DataFrame:
-    """(id, first, home): where each content is needed, and its earliest document."""
-    return pairs.select(F.col("x").alias("id"), F.col("dx").alias("first"), "home").union(pairs.select("y", "dy", "home")).distinct()
+    members: DataFrame
+    content: DataFrame
+    rows: DataFrame
 
 
-def _contents(docs: DataFrame, threshold: float, n: int, frequent: float, very_frequent: float, least_frequent: int, frequent_word: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(x, y, dx, dy, jaccard): the similar pairs of contents x and y, whose earliest documents are dx and dy;
-    (doc_id, id): the content of each row; (id, a): the earliest document of each content."""
+def _found(docs: DataFrame, links: bool, threshold: float, n: int, frequent: float, very_frequent: float, least_frequent: int, frequent_word: float) -> _Found:
     if not 0.4 <= threshold <= 1:
         raise ValueError("the groups of frequent tokens are laid out for thresholds from 0.4 to 1")
+    spark = docs.sparkSession
     stats = cut(_statistics(docs, n, frequent, frequent_word))
-    members = stats.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("id"))
-    total = members.count()
+    members = cut(stats.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("id"), "other", "size").distinct())
+    total, tokens = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     often = stats.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where(F.col("b") >= least_frequent).orderBy(F.desc("b"), "a").limit(MOST_FREQUENT).toArrow()
     table, count = (often.column(c).to_numpy() for c in ("a", "b"))
     order = np.argsort(table.view(np.uint64))
     table, count = table.view(np.uint64)[order], count[order]
     occurring = stats.where("kind > 1").groupBy("kind", "a").agg(F.sum("b").alias("b"))
     spoken = max(1, sum(r.b for r in occurring.where("kind = 3").collect()))
-    common = occurring.where((F.col("kind") == 2) & (F.col("b") >= frequent_word * spoken)).collect()
-    words = WordLevels(np.array([r.a for r in common], np.int64).view(np.uint64), np.array([r.b for r in common], np.float64) / spoken, frequent_word)
-    content = stats.where("kind = 0").groupBy(F.col("b").alias("id")).agg(*[F.min(c).alias(c) for c in ("a", "size", "least", "sketch")])
-    x, y = (content.select(F.col("id").alias(k), F.col("a").alias("d" + k), F.col("least").alias("l" + k)) for k in "xy")
-    parts = partitions(docs.sparkSession)
-    met = _candidates(docs, n, threshold, table, count, words, very_frequent * total).join(x, "x").join(y, "y")
-    met = cut(met.select("x", "y", "dx", "dy", F.pmod(F.least("lx", "ly"), F.lit(parts)).cast("int").alias("home")))
-    size = F.unhex(F.lpad(F.hex("size"), 16, "0"))  # 8 bytes
-    sketches = content.join(_wanted(met), "id").select("id", "home", F.concat(size, "sketch").alias("data"))
-    pairs = cut(_by_home(met, sketches, parts).mapInArrow(_alike(threshold), "x bigint, y bigint, dx bigint, dy bigint, home int"))
-
-    firsts = pairs.select(F.col("x").alias("id"), F.col("dx").alias("first")).union(pairs.select("y", "dy")).distinct()
-    maybe = docs.sparkSession.sparkContext.broadcast(bloom(firsts, "first"))
+    # the share bounds the number of words that can have it
+    common = occurring.where((F.col("kind") == 2) & (F.col("b") >= frequent_word * spoken)).toArrow()
+    words = WordLevels(common.column("a").to_numpy().view(np.uint64), common.column("b").to_numpy() / spoken, frequent_word)
+    content = members.groupBy("id", "other").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs"))
+
+    met = cut(_candidates(docs, n, threshold, table, count, words, very_frequent * total, tokens))
+    near = met.select(F.col("x").alias("id"), F.col("y").alias("o")).union(met.select("y", "x")).groupBy("id").agg(F.min("o").alias("low"), F.count("*").alias("degree"))
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("degree") / TILE_SETS, F.lit(1.0))))).cast("bigint")
+    near = cut(near.select("id", F.least("id", "low").alias("low"), blocks.alias("blocks")))
+    x, y = (near.select(F.col("id").alias(k), F.col("low").alias("low" + k), F.col("blocks").alias("blocks" + k)) for k in "xy")
+    n_blocks = F.greatest("blocksx", "blocksy")
+    p, q = (F.pmod(F.xxhash64(k), n_blocks) for k in "xy")
+    tile = F.xxhash64(F.least("lowx", "lowy"), n_blocks, F.least(p, q), F.greatest(p, q))
+    pairs = cut(met.join(x, "x").join(y, "y").select(tile.alias("tile"), "x", "y"))
+
+    wanted = pairs.select("tile", F.col("x").alias("id")).union(pairs.select("tile", "y")).distinct()
+    wanted = cut(wanted.join(content.select("id", "first", "n_docs"), "id"))
+    maybe = spark.sparkContext.broadcast(bloom(wanted.select("first").distinct(), "first"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(maybe.value.test(batch.column(0).to_numpy().view(np.uint64))))
-            for a, b in chunks(batch.column(1), docs=DOCS):
-                sets = Sets(batch.column(1)[a:b], n)
-                tokens = (mix(sets.token & HASH) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                packed = [tokens[sets.bound[i] : sets.bound[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets.id.view(np.int64)), pa.array(packed, pa.binary())], names=["first", "id", "data"])
+            for a, b in chunks(batch.column(1)):
+                ids = Sets(batch.column(1)[a:b], n).id
+                token, bound = verified_sets(batch.column(1)[a:b], n)
+                packed = [token[bound[i] : bound[i + 1]].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids.view(np.int64)), pa.array(packed, pa.binary())], names=["first", "id", "data"])
 
-    wanted = cut(_wanted(pairs))
     made = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, data binary")
-    sent = made.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["id", "first"])
-    near = _by_home(pairs, sent, parts).mapInArrow(_verify, "x bigint, y bigint, dx bigint, dy bigint, jaccard double").where(F.round("jaccard", 9) >= threshold)
-    return near, members, content
+    k = wanted.count()
+    sent = made.join(F.broadcast(wanted) if k <= BROADCAST_ROWS else wanted, ["id", "first"])
+    none = F.lit(None).cast("bigint")
+    rows = sent.select("tile", F.col("id").alias("x"), none.alias("y"), "first", "n_docs", "data")
+    rows = rows.union(pairs.select("tile", "x", "y", none, none, F.lit(None).cast("binary")))
+    parts = max(partitions(spark), 8 * k * tokens // max(total, 1) // PART_BYTES)
+    rows = rows.repartition(parts, "tile").sortWithinPartitions("tile")
+    schema = "kind int, a bigint, b bigint" if links else "x bigint, y bigint, jaccard double"
+    return _Found(members, content, rows.mapInArrow(_verifier(threshold, links), schema))
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
@@ -460,52 +523,62 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
 
     Documents with equal sets are one content, known by its earliest doc_id.  The rows are every pair of contents
     with similarity >= threshold, as their earliest documents, and one row (earliest, copy, 1.0) for each other
-    document of a content: the similarity of any pair follows from these, and the result stays linear in the number of copies.
-    all_pairs() has the rows that follow, too.
+    document of a content: the similarity of any pair follows from these, and copies add no more rows than there are.
 
-    Rows without doc_id or text, and texts without words, pair with nothing.  A text of fewer than n words is the set of the
-    one token of all its words.  A repeated row adds nothing.  Rows that share a doc_id but not the text
-    are contents of their own; they never give a pair of a doc_id with itself.
+    Contents are told apart by 128 bits of hash, and sets are compared by 64-bit hashes of their tokens.
+    Rows without doc_id or text, and texts without words, pair with nothing.  doc_id is an integer, or a string of one;
+    any other string is an error of the cast.  A text of fewer than n words is the set of the
+    one token of all its words; long texts are sets of all their tokens.  A repeated row adds nothing.  Rows that share a doc_id
+    but not the text are contents of their own; they never give a pair of a doc_id with itself.
     Columns beyond doc_id and text are not read.  An empty table gives an empty result.
     """
-    near, members, content = _contents(docs, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
-    near = near.where("dx <> dy").select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), "jaccard")
-    copies = members.join(content, "id").where("doc_id <> a").select(F.col("a").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    found = _found(docs, False, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
+    near = found.rows.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    copies = found.members.join(found.content, ["id", "other"]).where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def all_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b: as similar_pairs(), but every pair of similar documents has its row,
-    those of copies with each other and with the near copies of their content among them.
+def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
+    """(doc_id, class_id, n_links): one row for each document.
+
+    n_links: how many other documents are similar to it, its copies among them.  class_id: the least doc_id of the part of the graph of
+    similar documents that it is in; a document without links, or without words or text, is a class of its own.
+
+    What similar_pairs() says of ids, short texts, repeated rows and columns holds here too.  Of rows that share a doc_id but not the
+    text, each text has its links, n_links is their sum, and the class has them all.
     """
-    near, members, _ = _contents(docs, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
-    members = cut(members.distinct())
-    p, q = (members.select(F.col("id").alias(k), F.col("doc_id").alias("p" + k)) for k in "xy")
-    near = near.select("x", "y", "jaccard").join(p, "x").join(q, "y").where("px <> py")
-    same = p.join(q, F.col("x") == F.col("y")).where("px < py").withColumn("jaccard", F.lit(1.0))
-    every = near.select("px", "py", "jaccard").union(same.select("px", "py", "jaccard"))
-    every = every.select(F.least("px", "py").alias("doc_a"), F.greatest("px", "py").alias("doc_b"), "jaccard")
-    if members.groupBy("doc_id").count().where("count > 1").isEmpty():  # each document has one content, so no pair comes twice
-        return every
-    return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    found = _found(docs, True, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
+    rows = cut(found.rows)
+    links = rows.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
+    content = cut(found.content.join(links, "id", "left"))
+    # a content of many documents is a hot key of this join, which adaptive execution splits
+    own = cut(found.members.join(content, ["id", "other"]).select("doc_id", "first", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
+    edges = rows.where("kind = 1").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).union(own.where("doc_id <> first").select("first", "doc_id"))
+    sums = own.groupBy("doc_id").agg(F.sum("n").alias("n_links"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    out = ids.join(sums, "doc_id", "left").join(groups(edges), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("first", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, first): the earliest document of each connected group, for every other member, by alternating stars."""
-    edges = cut(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).distinct())
+    edges = cut(pairs.select(F.least("doc_a", "doc_b").alias("u"), F.greatest("doc_a", "doc_b").alias("v")).where("u < v").distinct())
+    before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour is linked to the least of the neighbourhood
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select("low", "v").where("low < v").distinct()
+        large = edges.join(low, "u").select("low", "v").where("low < v").distinct()
         # small star: every neighbour that is not larger is linked to the least of them
         down = large.select(F.col("v").alias("u"), F.col("low").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("low"))
         small = down.join(least, "u")
-        star = cut(small.select(F.col("low").alias("u"), "v").where("u < v").union(least.select(F.col("low").alias("u"), F.col("u").alias("v"))).distinct())
-        if edges.exceptAll(star).isEmpty() and star.exceptAll(edges).isEmpty():
-            return star.select(F.col("v").alias("doc_id"), F.col("u").alias("first"))
-        edges = star
+        edges = cut(small.select(F.col("low").alias("u"), "v").where("u < v").union(least.select(F.col("low").alias("u"), F.col("u").alias("v"))).distinct())
+        h = F.xxhash64("u", "v")
+        now = edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+        if now == before:  # the same edges as in the round before
+            return edges.select(F.col("v").alias("doc_id"), F.col("u").alias("first"))
+        before = now
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -513,9 +586,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
 
     Groups are the connected parts of similar_pairs(); rows that share a doc_id share its fate; rows without doc_id stay.
     """
-    later = groups(similar_pairs(docs, threshold, n)).select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    found = _found(docs, True, threshold, n, FREQUENT, VERY_FREQUENT, LEAST_FREQUENT, FREQUENT_WORD)
+    stars = found.rows.where("kind = 1").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+    copies = found.members.join(found.content, ["id", "other"]).where("doc_id <> first").select("first", "doc_id")
+    later = groups(stars.union(copies)).select(F.col("doc_id").alias("later"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name clashes
+    kept = rows.join(later, F.col("row.doc_id").cast("long") == F.col("later"), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The class and the number of links of every document of the table; see linked()."""
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -64,15 +64,21 @@ SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || text ||
 FROM o GROUP BY conv_id
 """,
     "op4_jaccard_join": f"""
-WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) < 2 THEN [w] ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i+1]))) END AS s
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 2 THEN [w] ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i+1]))) END AS s
   FROM dw WHERE len(w) > 0),
-content AS (SELECT s, min(doc_id) AS first, len(s) AS n FROM sets GROUP BY s),
-tok AS (SELECT first, n, unnest(s) AS g FROM content),
-common AS (SELECT a.first AS x, b.first AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM tok a JOIN tok b ON a.g = b.g AND a.first < b.first AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY ALL)
-SELECT x AS doc_a, y AS doc_b, c / (nx + ny - c) AS jaccard FROM common WHERE round(c / (nx + ny - c), 9) >= 0.6
-UNION ALL SELECT DISTINCT first, doc_id, 1.0 FROM sets JOIN content USING (s) WHERE doc_id <> first
+content AS (SELECT s, min(doc_id) AS first, count(*) AS k, len(s) AS n FROM sets GROUP BY s),
+tok AS (SELECT first, k, n, unnest(s) AS g FROM content),
+common AS (SELECT a.first AS x, b.first AS y, any_value(b.k) AS k, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM tok a JOIN tok b ON a.g = b.g AND a.first <> b.first AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY a.first, b.first),
+near AS (SELECT x, y, k FROM common WHERE round(c / (nx + ny - c), 9) >= 0.6),
+part(x, y) AS (SELECT first, first FROM content UNION SELECT part.x, near.y FROM part JOIN near ON near.x = part.y),
+class AS (SELECT x, min(y) AS class_id FROM part GROUP BY x),
+links AS (SELECT x, sum(k) AS links FROM near GROUP BY x),
+own AS (SELECT doc_id, class_id, k - 1 + coalesce(links, 0) AS n FROM sets JOIN content USING (s) JOIN class ON class.x = first LEFT JOIN links ON links.x = first)
+SELECT doc_id, coalesce(min(class_id), doc_id) AS class_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN own USING (doc_id) GROUP BY doc_id
 """,
     "op9_line_dedup": f"""
 WITH {LINES_SQL},

@@ -214,19 +214,72 @@ def test_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in pipeline.lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "--", 4: rows[3][1]}
 
 
-def test_pairs_of_copies(spark, tmp_path):
+def brute_classes(rows, t, n):
+    """doc_id -> (class, links), from all pairs of (document, text)."""
+    own = [(i, s) for i, s in sorted({(i, sets(x, n)) for i, x in rows if i is not None and x}, key=lambda r: r[0]) if s]
+    parent = {i: i for i, _ in rows if i is not None}
+    links = dict.fromkeys(parent, 0)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (k, b) in combinations(own, 2):
+        if round(len(a & b) / len(a | b), 9) >= t:
+            links[i] += 1
+            links[k] += 1
+            u, v = sorted((find(i), find(k)))
+            parent[v] = u
+    return {i: (find(i), links[i]) for i in parent}
+
+
+@pytest.mark.parametrize(("tile", "broadcast"), [(1024, 10**6), (2, 0)])
+def test_classes(spark, tmp_path, monkeypatch, tile, broadcast):
+    monkeypatch.setattr(jaccard, "TILE_SETS", tile)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     rnd = random.Random(3)
     voc = [f"w{i}" for i in range(200)]
     texts = [[rnd.choice(voc) for _ in range(rnd.choice((1, 5, 20, 60)))] for _ in range(12)]
-    texts += [changed(rnd, w, voc, 0.05) for w in texts]
-    rows = [(i, " ".join(rnd.choice(texts))) for i in range(90)]
-    rows += [(i, " ".join(w)) for i in (200, 200, 201) for w in texts[2:4]] + [(300, " ".join(texts[14])), (200, " ".join(texts[14])), (301, ""), (None, rows[0][1])]
+    texts += [changed(rnd, w, voc, 0.05) for w in texts for _ in range(4)]
+    rows = [(i, " ".join(rnd.choice(texts))) for i in range(120)]
+    rows += [(200, " ".join(texts[2]))] * 3 + [(201, " ".join(texts[3])), (300, " ".join(texts[14])), (301, ""), (302, None), (303, "?!"), (None, rows[0][1])]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    want = {}
-    for (i, a), (k, b) in combinations(sorted({(i, sets(t, 2)) for i, t in rows if i is not None and t}, key=lambda r: r[0]), 2):
-        j = len(a & b) / len(a | b)
-        if i != k and round(j, 9) >= 0.6:
-            want[i, k] = max(j, want.get((i, k), 0))
+    want = brute_classes(rows, 0.6, 2)
     got = jaccard.op4_jaccard_join(spark, str(tmp_path)).collect()
-    assert {(r.doc_a, r.doc_b) for r in got} == want.keys() and len(got) == len(want)
-    assert all(abs(r.jaccard - want[r.doc_a, r.doc_b]) < 1e-12 for r in got)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want and len(got) == len(want)
+    assert sum(k for _, k in want.values()) > 400
+
+
+def test_classes_edges(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (2, two), (3, one), (3, two), (3, two), (4, one + " z"), (None, one), (5, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("first", F.lit("x")).withColumn("a.b", F.lit("own")).withColumn("later", F.lit("own"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.linked(df).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 3: (1, 3), 4: (1, 2), 5: (5, 0)}
+    assert jaccard.linked(df.limit(0)).collect() == []
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r["a.b"]) for r in kept.collect()) == [(0, "own"), (1, "own"), (5, "own")]
+    text = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.doc_id: r.n_links for r in jaccard.linked(text).collect()} == {k: n for k, (_, n) in got.items()}
+
+
+def test_verifier_keeps_tiles_whole():
+    """Pairs whose sets are far apart in the stream, and tiles that end at batch ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("tile", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("first", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
+    rows = []
+    for tile in range(5):
+        for k in range(6):
+            token = np.arange(100 * tile + k // 2, 100 * tile + k // 2 + 20, dtype=np.uint64)
+            rows.append((tile, 10 * tile + k, None, 10 * tile + k, 1, token.tobytes()))
+        rows += [(tile, 10 * tile + a, 10 * tile + b, None, None, None) for a in range(6) for b in range(a)]
+    for step in (1, 4, 7, 21, 1000):
+        for limit in (0, 300, 10**6):
+            jaccard.TILE_BYTES, before = limit, jaccard.TILE_BYTES
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + step], strict=True), schema.types, strict=True)], schema=schema) for i in range(0, len(rows), step)]
+            got = [(r["x"], r["y"]) for b in jaccard._verifier(0.9, False)(iter(batches)) for r in b.to_pylist()]
+            jaccard.TILE_BYTES = before
+            assert sorted(tuple(sorted(p)) for p in got) == [(10 * t + a, 10 * t + b) for t in range(5) for a in range(6) for b in range(a + 1, 6) if b // 2 - a // 2 <= 1], (step, limit)
