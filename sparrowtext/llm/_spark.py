@@ -32,6 +32,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimate(df: DataFrame) -> int | None:
+    """Bytes of the rows, as the optimizer sees them (files count as they are stored); None where it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def buckets(df: DataFrame, times: float, bucket: int = 48 << 20) -> int:
+    """Buckets for packed arrays of `times` the size of the rows, each of about `bucket` bytes; spark.sql.shuffle.partitions at least."""
+    return int(min(20_000, max(partitions(df.sparkSession), times * (estimate(df) or 0) // bucket)))
+
+
 def by_bucket(df: DataFrame, n: int) -> DataFrame:
     """Rows of packed arrays, each sent to the partition that its column `bucket` names."""
     return df.repartitionById(n, F.col("bucket"))

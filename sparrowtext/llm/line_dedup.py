@@ -1,78 +1,114 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Lines are compared as sequences of lower-cased words.  Two lines are copies if the sequences are equal, or
-if both have at least NEAR_WORDS words and one word inserted, deleted or replaced turns one into the other.
+A line is the sequence of its lower-cased words.  Two lines are copies if the sequences are equal, or if one edit turns
+one into the other: a unit inserted, deleted or replaced.  The units of a line of NEAR words or more are its words; those of a
+shorter line are its characters, with one space between words.  One edit is allowed in NEAR units, so a shorter line of fewer
+characters has equal copies only, and lines of different units are no copies.
 
 1. Every line is hashed.  Equal hashes meet in one partition, which keeps the earliest occurrence.
    Beside it, each line that may have near copies sends the hashes of its halves: one edit
-   leaves a half untouched, so a line that shares no half with another has no near copy.
-2. The lines that do share a half emit their deletion neighbourhood: the line itself and, for each word, the hash of
-   the line without it.  Equal variants meet; the positions of the deleted words verify the distance
-   exactly (same position: one word replaced; one side undeleted: one word more or less).  Variants deleted
+   leaves a half untouched, so a line that shares no half with another has no near copy.  Both are combined before they are sent:
+   of equal lines the earliest, of equal halves one.
+2. The lines that do share a half emit their deletion neighbourhood: the line itself and, for each unit, the hash of
+   the line without it.  Equal variants meet; the positions of the deleted units verify the distance
+   exactly (same position: one unit replaced; one side undeleted: one unit more or less).  Variants deleted
    at different places of equally long lines are two edits apart and are turned down.
 3. An occurrence goes if an earlier one, by (doc_id, line number), is a copy of it.
+
+Lines and variants are equal if their 128-bit hashes are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Packer, bloom, by_bucket, cut, packed_schema, partitions, unpack
+from ._spark import Packer, bloom, buckets, by_bucket, cut, packed_schema, unpack
 from ._text import Segments, Words, chunks, mix, ranges, runs
 
-MIN_WORDS = 3
-NEAR_WORDS = 8
+NEAR = 8
+ALIKE = 0.2  # share of the words of a document, from which lines that begin or end like one other document's make it its look-alike
+SIZES = 0.6  # least ratio of the numbers of words of look-alikes
+HELD_LINES = 1_000_000  # lines that are combined before they are sent
+SEEN_LINES = 100_000  # lines whose variants a partition knows that it has sent
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_SECOND = np.uint64(0xA0761D6478BD642F)
+_WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
 
 
 class Lines:
-    """The lines with words of some texts: rows, numbers, word ranges and hashes."""
+    """The lines with words of some texts: rows, numbers, word ranges, and two hashes of each."""
 
-    def __init__(self, texts: pa.Array, min_words: int):
+    def __init__(self, texts: pa.Array):
         words = self.words = Words(texts)
         breaks = np.flatnonzero(words.data == 10)
         of_word = words.doc + np.searchsorted(breaks, words.start)
         self.start, self.n = runs(of_word)
-        keep = self.n >= min_words
-        self.start, self.n = self.start[keep], self.n[keep]
         self.end = self.start + self.n
         self.doc = words.doc[self.start]
         self.no = of_word[self.start] - self.doc - np.searchsorted(breaks, words.off[self.doc])
-        self.seg = Segments(words.hash)
-        self.hash = self.key(self.seg(self.start, self.end), self.n)
+        self.hash, self.second = (self.key(s(self.start, self.end), self.n) for s in (Segments(words.hash), Segments(mix(words.hash ^ _SECOND))))
 
     @staticmethod
     def key(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         return mix(h + n.astype(np.uint64) * _SALT)
 
-    def halves(self, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def take_units(self, near: int) -> None:
+        """unit_start and unit_n of each line, segs: hashes of stretches of the units, and kind: 1 for characters."""
+        w = self.words
+        self.kind = (self.n < near).astype(np.uint64)
+        short = np.flatnonzero(self.kind)
+        of = ranges(self.start[short], self.n[short])
+        own = ranges(w.start[of], w.end[of] - w.start[of])
+        lead = own[(w.data[own] & 0xC0) != 0x80]
+        b0 = w.data[lead]
+        size = 1 + (b0 >= 0xC0) + (b0 >= 0xE0) + (b0 >= 0xF0)
+        point = b0.astype(np.uint64)
+        for k in (1, 2, 3):
+            point |= np.where(size > k, w.data[np.minimum(lead + k, len(w.data) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+        chars = np.searchsorted(lead, w.end[of]) - np.searchsorted(lead, w.start[of])
+        space = np.ones(len(of), np.int64)
+        begin = np.cumsum(self.n[short]) - self.n[short]
+        space[begin] = 0
+        ends = np.cumsum(chars + space)
+        units = np.full(int(ends[-1]) if len(ends) else 0, np.uint64(32), np.uint64)
+        units[ranges(ends - chars, chars)] = point
+        edge = np.append(0, ends)
+        self.unit_start, self.unit_n = self.start.copy(), self.n.copy()
+        self.unit_start[short] = len(w) + edge[begin]
+        self.unit_n[short] = edge[begin + self.n[short]] - edge[begin]
+        every = np.concatenate([w.hash, mix(units + _SALT)])
+        self.segs = Segments(every), Segments(mix(every ^ _SECOND))
+
+    def halves(self, at: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of the untouched halves that a line has in common with any line one edit away."""
         lines, keys = [], []
         for less in (0, 1):  # as the shorter or equal line, and as the longer one
-            i = at[self.n[at] - less >= least]
-            base = self.n[i] - less
+            i = at[self.unit_n[at] - less >= near]
+            base = self.unit_n[i] - less
             m = base // 2
-            s, e = self.start[i], self.end[i]
-            for side, h in ((1, self.seg(s, s + m)), (2, self.seg(e - (base - m), e))):
+            s, e = self.unit_start[i], self.unit_start[i] + self.unit_n[i]
+            for side, h in ((1, self.segs[0](s, s + m)), (2, self.segs[0](e - (base - m), e))):
                 lines.append(i)
-                keys.append(mix(h ^ mix(base.astype(np.uint64) * np.uint64(4) + np.uint64(side))))
+                keys.append(mix(h ^ mix(base.astype(np.uint64) * np.uint64(8) + np.uint64(side) + np.uint64(4) * self.kind[i])))
         return np.concatenate(lines), np.concatenate(keys)
 
-    def variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, key, deleted position): each line as it is, position -1, and without each of its words."""
-        n, s, e = self.n[at], self.start[at], self.end[at]
-        line = np.repeat(at, n)
+    def variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, second key, deleted position): each line as it is, position -1, and without each of its units."""
+        n, s = self.unit_n[at], self.unit_start[at]
+        e = s + n
         pos = ranges(np.zeros_like(n), n)
-        rs, re = np.repeat(s, n), np.repeat(e, n)
-        rest = self.seg(rs, rs + pos) + (self.seg.sums[re] - self.seg.sums[rs + pos + 1]) * self.seg.down[rs + 1]
-        deleted = self.key(rest, np.repeat(n, n) - 1)
-        return np.concatenate([at, line]), np.concatenate([self.hash[at], deleted]), np.concatenate([np.full(len(at), -1), pos])
+        rs, re, rn, rk = np.repeat(s, n), np.repeat(e, n), np.repeat(n, n), np.repeat(self.kind[at], n)
+        keys = []
+        for seg in self.segs:
+            rest = seg(rs, rs + pos) + (seg.sums[re] - seg.sums[rs + pos + 1]) * seg.down[rs + 1]
+            keys.append(np.concatenate([self.key(seg(s, e) ^ self.kind[at], n), self.key(rest ^ rk, rn - 1)]))
+        return np.concatenate([at, np.repeat(at, n)]), *keys, np.concatenate([np.full(len(at), -1), pos])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -80,11 +116,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null and text is not null")
 
 
-def _earliest(group: np.ndarray, doc: np.ndarray, no: np.ndarray) -> np.ndarray:
-    """Rows in the order of (group, doc_id, line number)."""
-    return np.lexsort((no, doc, group))
-
-
 def _rows(kind: int, doc: np.ndarray, no: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     k = len(doc)
     return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(doc), pa.array(no.astype(np.int32)), pa.array(h.view(np.int64))], names=["kind", "doc_id", "line_no", "hash"])
@@ -93,136 +124,258 @@ def _rows(kind: int, doc: np.ndarray, no: np.ndarray, h: np.ndarray) -> pa.Recor
 _OUT = "kind int, doc_id bigint, line_no int, hash bigint"
 
 
-def copies(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _later(h: np.ndarray, second: np.ndarray, doc: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(earliest occurrence of each line, occurrences of which there is an earlier one), as indices."""
+    order = np.lexsort((no, doc, second, h))
+    new = _new(h[order], second[order])
+    first = order[new][np.cumsum(new) - 1] if len(order) else order
+    return order[new], order[(doc[order] != doc[first]) | (no[order] != no[first])]
+
+
+def _sharing(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, one line of each, lines that share a key with another line)."""
+    order = np.lexsort((h, key))
+    order = order[_new(key[order], h[order])]
+    key, h = key[order], h[order]
+    start, length = runs(key)
+    return key[start], h[start], np.unique(h[np.repeat(length > 1, length)])
+
+
+class _Held:
+    """Columns of some chunks, until there are HELD_LINES rows."""
+
+    def __init__(self) -> None:
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        self.columns.append(columns)
+        self.size += len(columns[0])
+        return self.size >= HELD_LINES
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(c) for c in zip(*self.columns, strict=True)]
+        self.columns, self.size = [], 0
+        return out
+
+
+def copies(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """(doc_id, line_no) of every line occurrence, numbered from 0, of which an earlier copy exists.
 
-    Lines of fewer than `min_words` words never take part, so with 1 every line with words does; lines of fewer than
-    `near_words` match only exactly.
-    Rows without doc_id or text take no part.  Rows that share a doc_id share the fate of each line number:
-    equal lines at one (doc_id, line number) tie, and none of them is earlier.  Other columns are not read.
+    Every line with a word takes part; lines without words never go.  doc_id is an integer, or a string of one; any other string is
+    an error of the cast.  Rows without doc_id or text take no part.  Rows that share a doc_id share the fate of each line number:
+    equal lines at one (doc_id, line number) tie, and none of them is earlier.  Long texts and long lines take part whole.
+    Other columns are not read.  An empty table has no copies.
     """
-    n = partitions(docs.sparkSession)
+    n = buckets(docs, 2)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(2 * n, ["a", "b", "c"])
+        packer, lines_held, halves_held = Packer(3 * n, ["a", "b", "c", "d"]), _Held(), _Held()
+
+        def send_lines() -> Iterator[pa.RecordBatch]:
+            h, second, doc, no = lines_held.take()
+            first, gone = _later(h, second, doc, no)
+            yield from packer.add(h[first] % np.uint64(n), h[first], second[first].view(np.int64), doc[first], no[first])
+            yield from packer.add(2 * n + doc[gone] % n, h[gone], second[gone].view(np.int64), doc[gone], no[gone])
+
+        def send_halves() -> Iterator[pa.RecordBatch]:
+            key, h, known = _sharing(*halves_held.take())
+            yield from packer.add(n + (key % np.uint64(n)).astype(np.int64), key, h.view(np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int32))
+            # lines that share a half with another one here go along as such: of kind 1, behind the keys
+            yield from packer.add(n + (known % np.uint64(n)).astype(np.int64), known, known.view(np.int64), np.zeros(len(known), np.int64), np.ones(len(known), np.int32))
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b in chunks(batch.column(1)):
-                lines = Lines(batch.column(1)[a:b], min_words)
-                h = lines.hash
-                yield from packer.add(h % np.uint64(n), h, ids[a:b][lines.doc], lines.no.astype(np.int32))
-                once = np.unique(h, return_index=True)[1]
-                i, key = lines.halves(once, near_words)
-                yield from packer.add(n + (key % np.uint64(n)).astype(np.int64), key, h[i].view(np.int64), np.zeros(len(i), np.int32))
+                lines = Lines(batch.column(1)[a:b])
+                lines.take_units(near)
+                full = lines_held.add(lines.hash, lines.second, ids[a:b][lines.doc], lines.no.astype(np.int32))
+                i, key = lines.halves(np.unique(lines.hash, return_index=True)[1], near)
+                half_full = halves_held.add(key, lines.hash[i])
+                if full:
+                    yield from send_lines()
+                if half_full:
+                    yield from send_halves()
+        if lines_held.columns:
+            yield from send_lines()
+            yield from send_halves() if halves_held.columns else ()
         yield from packer.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[pa.RecordBatch]] = [[], []]
+        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
         for batch in batches:
-            half = batch.column(0).to_numpy() >= n
+            role = batch.column(0).to_numpy() // n
             for k in (0, 1):
-                held[k].append(batch.filter(pa.array(half == bool(k))))
-        got = unpack(iter(held[0]), {"a": "u8", "b": "i8", "c": "i4"})
-        h, doc, no = got["a"], got["b"], got["c"]
-        order = _earliest(h, doc, no)
-        h, doc, no = h[order], doc[order], no[order]
-        start, length = runs(h)
-        first = np.repeat(start, length)
-        later = (doc != doc[first]) | (no != no[first])
-        yield _rows(0, doc[later], no[later], h[later])
-        got = unpack(iter(held[1]), {"a": "u8", "b": "u8"})
-        key, h = got["a"], got["b"]
-        order = np.lexsort((h, key))
-        key, h = key[order], h[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        key, h = key[new], h[new]
-        length = runs(key)[1]
-        h = np.unique(h[np.repeat(length > 1, length)])
+                held[k].append(batch.filter(pa.array(role == k)))
+            got = unpack(iter([batch.filter(pa.array(role == 2))]), {"a": "u8", "c": "i8", "d": "i4"})
+            yield _rows(0, got["c"], got["d"], got["a"])
+        got = unpack(iter(held[0]), {"a": "u8", "b": "u8", "c": "i8", "d": "i4"})
+        later = _later(got["a"], got["b"], got["c"], got["d"])[1]
+        yield _rows(0, got["c"][later], got["d"][later], got["a"][later])
+        got = unpack(iter(held[1]), {"a": "u8", "b": "u8", "d": "i4"})
+        key = got["d"] == 0
+        h = np.unique(np.concatenate([_sharing(got["a"][key], got["b"][key])[2], got["b"][~key]]))
         yield _rows(1, np.zeros(len(h), np.int64), np.zeros(len(h), np.int32), h)
 
     texts = _texts(docs)
-    met = cut(by_bucket(texts.mapInArrow(hashes, packed_schema(["a", "b", "c"])), 2 * n).mapInArrow(meet, _OUT))
+    met = cut(by_bucket(texts.mapInArrow(hashes, packed_schema(["a", "b", "c", "d"])), 3 * n).mapInArrow(meet, _OUT))
     exact = met.where("kind = 0").select("doc_id", "line_no")
-    near = _near(texts, met.where("kind = 1").select("hash"), n, min_words, near_words)
-    return exact.union(near).distinct()
+    return exact.union(_near(texts, met.where("kind = 1").select("hash"), n, near)).distinct()
 
 
-def _near(texts: DataFrame, sharing: DataFrame, n: int, min_words: int, near_words: int) -> DataFrame:
-    maybe = texts.sparkSession.sparkContext.broadcast(bloom(sharing, "hash"))
-    names = ["key", "hash", "doc", "no", "pos"]
+def _near(texts: DataFrame, sharing: DataFrame, n: int, near: int) -> DataFrame:
+    maybe = texts.sparkSession.sparkContext.broadcast(bloom(sharing.distinct(), "hash"))
+    names = ["key", "key2", "hash", "doc", "no", "pos"]
 
     def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(n, names)
-        best: dict[int, tuple[int, int]] = {}
+        seen = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # lines that were sent lately
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b in chunks(batch.column(1)):
-                lines = Lines(batch.column(1)[a:b], near_words)
+                lines = Lines(batch.column(1)[a:b])
+                lines.take_units(near)
                 doc = ids[a:b][lines.doc]
-                at = np.flatnonzero(maybe.value.test(lines.hash))
-                at = at[_earliest(lines.hash[at], doc[at], lines.no[at])]
-                at = at[runs(lines.hash[at])[0]]
-                place = list(zip(doc[at].tolist(), lines.no[at].tolist(), strict=True))
-                new = np.zeros(len(at), bool)
-                for k, h in enumerate(lines.hash[at].tolist()):  # a partition emits a line again only if it meets an earlier occurrence
-                    if h not in best or place[k] < best[h]:
-                        best[h] = place[k]
-                        new[k] = True
-                i, key, pos = lines.variants(at[new])
-                yield from packer.add(key % np.uint64(n), key, lines.hash[i], doc[i], lines.no[i].astype(np.int32), pos.astype(np.int32))
+                at = np.flatnonzero((lines.unit_n >= near) & maybe.value.test(lines.hash))
+                at = at[_later(lines.hash[at], lines.second[at], doc[at], lines.no[at])[0]]
+                # an occurrence goes out only if no earlier one did
+                known = [np.concatenate(c) for c in zip(seen, (lines.hash[at], lines.second[at], doc[at], lines.no[at]), strict=True)]
+                first = _later(*known)[0]
+                at = at[first[first >= len(seen[0])] - len(seen[0])]
+                seen = [c[first] for c in known] if len(first) < SEEN_LINES else [c[:0] for c in seen]
+                i, key, key2, pos = lines.variants(at)
+                yield from packer.add(key % np.uint64(n), key, key2, lines.hash[i], doc[i], lines.no[i].astype(np.int32), pos.astype(np.int32))
         yield from packer.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpack(batches, {"key": "u8", "hash": "u8", "doc": "i8", "no": "i4", "pos": "i4"})
-        key, h, doc, no, pos = (got[k] for k in names)
-        order = np.lexsort((no, doc, h, pos, key))
-        key, h, doc, no, pos = (x[order] for x in (key, h, doc, no, pos))
-        new = np.ones(len(key), bool)  # each variant of each line once, at the line's earliest occurrence
-        new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1]) | (h[1:] != h[:-1])
-        key, h, doc, no, pos = (x[new] for x in (key, h, doc, no, pos))
+        got = unpack(batches, {"key": "u8", "key2": "u8", "hash": "u8", "doc": "i8", "no": "i4", "pos": "i4"})
+        order = np.lexsort((got["no"], got["doc"], got["hash"], got["pos"], got["key2"], got["key"]))
+        key, key2, h, doc, no, pos = (got[k][order] for k in names)
+        new = _new(key, key2, pos, h)  # each variant of each line once, at the line's earliest occurrence
+        key, key2, h, doc, no, pos = (x[new] for x in (key, key2, h, doc, no, pos))
+        group = np.cumsum(_new(key, key2))
         out = []
-        # one word replaced: same variant, same place
-        order = np.lexsort((no, doc, pos, key))
-        k2, p2 = key[order], pos[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (k2[1:] != k2[:-1]) | (p2[1:] != p2[:-1])
-        head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        later = ~first & (h[order] != h[order][head]) & (p2 >= 0)
+        # one unit replaced: same variant, same place
+        order = np.lexsort((no, doc, pos, group))
+        first = _new(group[order], pos[order])
+        head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
+        later = ~first & (h[order] != h[order][head]) & (pos[order] >= 0)
         later &= (doc[order] != doc[order][head]) | (no[order] != no[order][head])
         out.append(order[later])
-        # one word more or less: the undeleted line comes first in its run of the key, as its position is -1
-        start, length = runs(key)
-        full = start[(length > 1) & (pos[start] == -1)] if len(start) else start
-        count = length[(length > 1) & (pos[start] == -1)] if len(start) else length
+        # one unit more or less: the undeleted line comes first in its run of the key, as its position is -1
+        start, length = runs(group)
+        some = (length > 1) & (pos[start] == -1)
+        full, count = start[some], length[some]
         others = ranges(full + 1, count - 1)
         owner = np.repeat(full, count - 1)
         before = (doc[owner] < doc[others]) | ((doc[owner] == doc[others]) & (no[owner] < no[others]))
         after = (doc[owner] > doc[others]) | ((doc[owner] == doc[others]) & (no[owner] > no[others]))
         out += [others[before], owner[after]]
-        at = np.unique(np.concatenate(out)) if len(key) else np.zeros(0, np.int64)
+        at = np.unique(np.concatenate(out))
         yield _rows(2, doc[at], no[at], h[at])
 
     packed = texts.mapInArrow(neighbourhoods, packed_schema(names))
     return cut(by_bucket(packed, n).mapInArrow(meet, _OUT).select("doc_id", "line_no").distinct())
 
 
-def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def look_alikes(docs: DataFrame, share: float = ALIKE, sizes: float = SIZES) -> DataFrame:
+    """doc_id of the documents that look like near copies of one earlier document as a whole.
+
+    A line speaks for the first document with a line of as many units and an equal half.  A document is found if lines
+    with `share` of its words speak for one earlier document, and of the numbers of words of both the smaller is at least `sizes` of
+    the larger.  Ids, nulls, repeated rows, long texts, columns and empty tables are as in copies().
+    """
+    n = buckets(docs, 2)
+    names = ["key", "doc", "no", "words", "total"]
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(n, names)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for a, b in chunks(batch.column(1)):
+                lines = Lines(batch.column(1)[a:b])
+                lines.take_units(NEAR)
+                total = np.diff(lines.words.bound)[lines.doc].astype(np.int32)
+                i, key = lines.halves(np.arange(len(lines.n)), 2)
+                k = len(i) - 2 * int((lines.unit_n >= 3).sum())  # those of equally long lines come first
+                i, key = i[:k], key[:k]
+                yield from packer.add(key % np.uint64(n), key, ids[a:b][lines.doc[i]], lines.no[i].astype(np.int32), lines.n[i].astype(np.int32), total[i])
+        yield from packer.flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = unpack(batches, {"key": "u8", "doc": "i8", "no": "i4", "words": "i4", "total": "i4"})
+        key, doc, no, words, total = (got[k] for k in names)
+        order = np.lexsort((doc, key))
+        new = _new(key[order])
+        first = order[new][np.cumsum(new) - 1] if len(order) else order
+        good = (doc[order] != doc[first]) & (np.minimum(total[order], total[first]) >= sizes * np.maximum(total[order], total[first]))
+        own, first = order[good], first[good]
+        packer = Packer(n, ["doc", "no", "words", "total", "source"])
+        yield from packer.add(doc[own] % n, doc[own], no[own], words[own], total[own], doc[first])
+        yield from packer.flush()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = unpack(batches, {"doc": "i8", "no": "i4", "words": "i4", "total": "i4", "source": "i8"})
+        order = np.lexsort((got["no"], got["source"], got["doc"]))
+        doc, no, words, total, source = (got[k][order] for k in ("doc", "no", "words", "total", "source"))
+        new = _new(doc, source, no)
+        doc, words, total, source = doc[new], words[new], total[new], source[new]
+        start = np.flatnonzero(_new(doc, source))
+        enough = np.add.reduceat(words, start) >= share * total[start] if len(start) else start.astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(doc[start][enough]))], names=["doc_id"])
+
+    met = by_bucket(_texts(docs).mapInArrow(halves, packed_schema(names)), n).mapInArrow(meet, packed_schema(["doc", "no", "words", "total", "source"]))
+    return by_bucket(met, n).mapInArrow(weigh, "doc_id bigint").distinct()
+
+
+def _cut(docs: DataFrame, near: int, whole: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(row, text, dropped): each row as a struct, so that no name clashes, its text without copied lines, and how many went."""
+    gone = copies(docs, near).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
+    if whole is None:
+        gone = gone.withColumn("whole", F.lit(False))
+    else:
+        gone = gone.join(whole(docs).select("doc_id", F.lit(True).alias("whole")), "doc_id", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left").withColumn("parts", F.split(F.col("row.text").cast("string"), "\n"))
+    numbers: Column = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    rows = rows.withColumn("rest", F.array_join(F.transform(numbers, lambda i: F.get("parts", i)), "\n"))
+    same = F.col("gone").isNull() | F.col("row.text").isNull() | (F.coalesce("whole", F.lit(False)) & F.col("rest").rlike(_WORD))
+    return rows.select("row", F.when(same, F.col("row.text").cast("string")).otherwise(F.col("rest")).alias("text"), F.when(same, F.lit(0)).otherwise(F.size("gone")).alias("dropped"))
+
+
+def without_copies(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """The rows of `docs`, all columns kept, with the copied lines taken out of `text`, and a count `n_dropped`.
 
     A null or empty text stays as it is, with n_dropped 0, as does a row without doc_id.  A text all of whose
     lines go becomes the empty text.  Lines are split at the line feed alone, and kept lines keep their bytes.
     A column of `docs` that is itself named n_dropped is replaced.
     """
-    gone = copies(docs, min_words, near_words).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name clashes
-    kept = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left").withColumn("parts", F.split("row.text", "\n"))
-    numbers: Column = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
-    text = F.array_join(F.transform(numbers, lambda i: F.get("parts", i)), "\n")
-    text = F.when(F.col("gone").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(text).alias("text")
-    columns = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_dropped"]
-    return kept.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_dropped"]
+    return _cut(docs, near, None).select(*columns, F.col("dropped").alias("n_dropped"))
+
+
+def cleaned(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """The documents without copied lines, and without those of which nothing else is left; columns as they were.
+
+    The number of characters in n_chars, if there is such a column, follows the text.  Documents that look_alikes() finds keep their
+    lines, unless every line with words is a copy: near copies of a whole document are for the join of documents to remove, which would
+    no longer know their remains.  Rows without doc_id or text stay, and empty or blank texts too.
+    """
+    kept = _cut(docs, near, look_alikes).where("dropped = 0 or trim(both ' \t\r\n' from text) <> ''")
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1).select("doc_id", "text", "n_dropped")
+    """(doc_id, text, n_dropped) of every document of the table; see without_copies()."""
+    return without_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_dropped")

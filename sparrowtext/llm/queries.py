@@ -35,13 +35,15 @@ line AS (
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 worded AS (SELECT doc_id, no, regexp_extract_all(lower(line), '{_WORD}') AS w FROM line),
 placed AS (
-  SELECT *, array_to_string(w, ' ') AS k, row_number() OVER (ORDER BY doc_id, no) AS place FROM worded WHERE len(w) >= 3),
-firsts AS (
-  SELECT k, any_value(w) AS w, len(any_value(w)) AS n, min(place) AS place FROM placed GROUP BY k),
+  SELECT *, array_to_string(w, ' ') AS k, row_number() OVER (ORDER BY doc_id, no) AS place FROM worded WHERE len(w) > 0),
+firsts AS (SELECT k, len(any_value(w)) < 8 AS short, CASE WHEN len(any_value(w)) < 8 THEN string_split(k, '') ELSE any_value(w) END AS u, min(place) AS place FROM placed GROUP BY k),
+bases AS (SELECT *, unnest([len(u), len(u) - 1]) AS base FROM firsts),
+halves AS (
+  SELECT short, base, 1 AS side, u[1:base//2] AS half, u, place FROM bases WHERE base >= 8
+  UNION ALL SELECT short, base, 2, u[len(u)-(base-base//2)+1:], u, place FROM bases WHERE base >= 8),
 pairs AS (
-  SELECT a.w AS s, b.w AS t, a.place AS sat, b.place AS tat FROM firsts a JOIN firsts b ON b.n BETWEEN a.n AND a.n + 1 AND a.place <> b.place
-  AND a.n >= 8
-  WHERE a.w[1:a.n//2] = b.w[1:a.n//2] OR a.w[a.n//2+1:] = b.w[b.n-(a.n-a.n//2)+1:]),
+  SELECT DISTINCT a.u AS s, b.u AS t, a.place AS sat, b.place AS tat FROM halves a JOIN halves b USING (short, base, side, half)
+  WHERE len(a.u) = base AND a.place <> b.place),
 near AS (
   SELECT greatest(sat, tat) AS place FROM pairs
   WHERE CASE WHEN len(s) = len(t) THEN len(list_filter(list_zip(s, t), lambda z: z[1] <> z[2])) = 1

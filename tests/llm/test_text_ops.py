@@ -91,18 +91,16 @@ def test_groups(spark):
 
 
 def brute_lines(rows):
-    seen, gone = [], set()
+    gone, first = set(), {}
     placed = sorted({(i, k, tuple(words(line))) for i, t in rows if i is not None and t is not None for k, line in enumerate(t.split("\n"))})
-    first = {}
     for i, k, w in placed:
-        if len(w) < 3:
-            continue
-        if w in first and first[w] != (i, k):
+        if w and first.setdefault(w, (i, k)) != (i, k):
             gone.add((i, k))
-        else:
-            first.setdefault(w, (i, k))
 
-    def near(a, b):
+    def near(v, w):
+        if (len(v) < 8) != (len(w) < 8):
+            return False
+        a, b = (" ".join(v), " ".join(w)) if len(v) < 8 else (v, w)
         if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 1:
             return False
         if len(a) == len(b):
@@ -111,19 +109,15 @@ def brute_lines(rows):
         return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
     for w, at in first.items():
-        if any(near(w, v) and there < at for v, there in seen if v != w):
-            gone.add(at)
-        seen.append((w, at))
-    for w, at in first.items():
-        if any(near(w, v) and there < at for v, there in first.items()):
+        if any(there < at and near(w, v) for v, there in first.items()):
             gone.add(at)
     return gone
 
 
 def test_lines(spark):
     rnd = random.Random(7)
-    voc = [f"v{i}" for i in range(30)]
-    base = [[rnd.choice(voc) for _ in range(rnd.choice((1, 3, 7, 8, 9, 12, 30)))] for _ in range(120)]
+    voc = [f"v{i}é" for i in range(30)]
+    base = [[rnd.choice(voc) for _ in range(rnd.choice((1, 2, 3, 7, 8, 9, 12, 30)))] for _ in range(120)]
     lines = list(base)
     for _ in range(250):
         w = list(rnd.choice(lines)) or ["v1"]
@@ -153,7 +147,7 @@ def test_lines_edges(spark):
     for c in ("row", "gone", "parts", "n_dropped", "hash", "kind", "line_no"):
         df = df.withColumn(c, F.lit("own"))
     got = sorted(((r.doc_id, r.text, r.n_dropped) for r in line_dedup.without_copies(df).collect()), key=str)
-    want = [(None, hot, 0), (1, None, 0), (2, "", 0), (3, hot, 0), (3, hot, 0), (4, "\nshort line", 2), (5, "short line", 0), (6, long, 0), (7, "", 1), (8, "", 2)]
+    want = [(None, hot, 0), (1, None, 0), (2, "", 0), (3, hot, 0), (3, hot, 0), (4, "\nshort line", 2), (5, "", 1), (6, long, 0), (7, "", 1), (8, "", 2)]
     assert got == sorted(want, key=str)
     out = line_dedup.without_copies(df)
     assert set(out.columns) == set(df.columns) and {r["row"] for r in out.collect()} == {"own"}
@@ -205,13 +199,59 @@ def test_windows_edges(spark):
 
 
 def test_short_lines(spark, tmp_path):
-    rows = [(1, "Les.\nAnd ornd.\n--\na line of its own"), (2, "les\n--"), (3, "Les.\nLes.\nand, ornd"), (4, "Lest.\nornd and")]
+    rows = [(1, "Les.\nAnd ornd.\n--\na line of its own"), (2, "les\n--"), (3, "Les.\nLes.\nand, ornd"), (4, "Lest.\nornd and\nA lime of its own\nA line of its owns!\na lino of its on")]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("--", 1), 3: ("", 3), 4: (rows[3][1], 0)}
-    pipeline = pytest.importorskip("corpus_pipeline")
+    assert got == {1: (rows[0][1], 0), 2: ("--", 1), 3: ("", 3), 4: ("Lest.\nornd and\na lino of its on", 2)}
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.text for r in pipeline.lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "--", 4: rows[3][1]}
+    assert {r.doc_id: r.text for r in line_dedup.cleaned(docs).collect()} == {1: rows[0][1], 2: "--", 4: "Lest.\nornd and\na lino of its on"}
+
+
+def brute_alikes(rows, share=0.2, sizes=0.6):
+    first, total, votes = {}, {}, {}
+
+    def keys(w):
+        u = " ".join(w) if len(w) < 8 else tuple(w)
+        if len(u) < 2:
+            return []
+        m = len(u) // 2
+        return [(len(w) < 8, len(u), 1, u[:m]), (len(w) < 8, len(u), 2, u[m:])]
+
+    for i, text in sorted(rows):
+        total[i] = len(words(text))
+        for line in text.split("\n"):
+            for k in keys(words(line)):
+                first.setdefault(k, i)
+    for i, text in rows:
+        for line in text.split("\n"):
+            w = words(line)
+            for e in {first[k] for k in keys(w)} - {i}:
+                votes[i, e] = votes.get((i, e), 0) + len(w)
+    return {i for (i, e), n in votes.items() if n >= share * total[i] and min(total[i], total[e]) >= sizes * max(total[i], total[e])}
+
+
+def test_near_copies_stay_whole(spark):
+    rnd = random.Random(9)
+    voc = [f"v{i}" for i in range(500)]
+    lines = lambda n: [[rnd.choice(voc) for _ in range(rnd.randint(5, 30))] for _ in range(n)]
+    base = [lines(rnd.randint(4, 9)) for _ in range(25)]
+    notice = " ".join(rnd.choice(voc) for _ in range(60))
+    rows = [(i, "\n".join(" ".join(w) for w in d)) for i, d in enumerate(base)]
+    rows += [(100 + i, "\n".join(" ".join(changed(rnd, w, voc, 0.05)) for w in d)) for i, d in enumerate(base)]  # most lines shared
+    rows += [(200 + i, "\n".join([notice, *(" ".join(w) for w in lines(25))])) for i in range(15)]
+    rows += [(300, rows[3][1])]
+    df = spark.createDataFrame(rows, DOCS).repartition(4).withColumn("n_chars", F.char_length("text")).withColumn("n_dropped", F.lit("mine")).withColumn("a.b", F.lit(1))
+    alike = {r.doc_id for r in line_dedup.look_alikes(df).collect()}
+    assert alike == brute_alikes(rows) and {100 + i for i in range(25)} <= alike and alike.isdisjoint(range(200, 300))
+    gone, text = brute_lines(rows), dict(rows)
+    got = {r.doc_id: r for r in line_dedup.cleaned(df).collect()}
+    assert 300 not in got and all(got[i].text == text[i] for i in alike & set(got)) and len([i for i in range(100, 125) if i in got]) >= 15
+    for i in range(201, 215):
+        assert notice not in got[i].text and got[i].n_chars == len(got[i].text) and (i, 0) in gone
+    assert {r.n_dropped for r in got.values()} == {"mine"} and line_dedup.cleaned(df).columns == df.columns
+    left = jaccard.one_of_each(line_dedup.cleaned(df)).collect()
+    assert len([r for r in left if 100 <= r.doc_id < 125]) <= 1
+    assert line_dedup.cleaned(df.limit(0)).collect() == [] and line_dedup.look_alikes(df.limit(0)).collect() == []
 
 
 def brute_classes(rows, t, n):
@@ -269,17 +309,36 @@ def test_verifier_keeps_tiles_whole():
     import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("tile", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("first", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("tile", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary())])
     rows = []
     for tile in range(5):
         for k in range(6):
-            token = np.arange(100 * tile + k // 2, 100 * tile + k // 2 + 20, dtype=np.uint64)
+            token = np.arange(100 * tile + k // 2, 100 * tile + k // 2 + 20).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : jaccard.SET_BYTES]
             rows.append((tile, 10 * tile + k, None, 10 * tile + k, 1, token.tobytes()))
         rows += [(tile, 10 * tile + a, 10 * tile + b, None, None, None) for a in range(6) for b in range(a)]
     for step in (1, 4, 7, 21, 1000):
         for limit in (0, 300, 10**6):
             jaccard.TILE_BYTES, before = limit, jaccard.TILE_BYTES
             batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + step], strict=True), schema.types, strict=True)], schema=schema) for i in range(0, len(rows), step)]
-            got = [(r["x"], r["y"]) for b in jaccard._verifier(0.9, False)(iter(batches)) for r in b.to_pylist()]
+            got = [(r["x"], r["y"]) for b in jaccard._by_tile(jaccard._verifier(0.9, False))(iter(batches)) for r in b.to_pylist()]
             jaccard.TILE_BYTES = before
             assert sorted(tuple(sorted(p)) for p in got) == [(10 * t + a, 10 * t + b) for t in range(5) for a in range(6) for b in range(a + 1, 6) if b // 2 - a // 2 <= 1], (step, limit)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice((3, 150, 230, 900)))]
+        texts += [" ".join(w[: max(2, int(len(w) * rnd.uniform(0.5, 1)))]) for _ in range(6)] + [" ".join(changed(rnd, w, ["x", "y"], 0.1))]
+    own = jaccard.Sets(pa.array(texts), 2)
+    sketches = own.sketches(np.arange(len(texts)))
+    table = pa.table({"x": list(range(len(texts))), "a": own.size, "b": own.size, "data": pa.array(sketches, pa.binary())})
+    pairs = [(i, k) for i, k in combinations(range(len(texts)), 2) if min(own.size[i], own.size[k]) >= 0.6 * max(own.size[i], own.size[k])]
+    got = {tuple(sorted(r.values())) for r in jaccard._alike(0.6)(table, np.array(pairs).T).to_pylist()}
+    tokens = [sets(t, 2) for t in texts]
+    similar = {(i, k) for i, k in pairs if len(tokens[i] & tokens[k]) / len(tokens[i] | tokens[k]) >= 0.6}
+    assert similar <= got and len(similar) > 60 and len(got) < len(similar) + 0.1 * len(pairs)
