@@ -17,9 +17,10 @@ A document is the set of its word n-grams (tokens).  All pairs with Jaccard simi
    meets at the level of its smaller set, and a set emits at every level its partners can have.
 3. Equal signatures meet in one partition; sets of equal content count once; size and position bounds are applied.  Each
    set names its three least signatures, and a pair is left to the least that both name.
-4. A candidate pair is verified in the tile of the least neighbour of either set, which the sets of a group mostly have in
-   common, so that few tiles need the same set.  A set with many candidates splits its tiles into blocks of both sides, so that none
-   of them is large, however large the group.  Token sets of 64-bit hashes are sent once to each tile that needs them.
+4. Candidates whose parity sketches differ in more places than the sets may are dropped; the token sets of the others
+   are verified.  Either is done in tiles: a pair goes to the tile of the least neighbour of both, which the sets of a group mostly have
+   in common, so that few tiles need the same set.  A set with many candidates splits its tiles into blocks of both sides, so that
+   none of them is large, however large the group.  Sketches and sets are sent once to each tile that needs them.
 5. Of the similar pairs in a tile only the sum of links of each set and a star of each connected part leave it: what follows is
    linear in the documents, whatever the number of pairs.
 """
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import bloom, by_bucket, cut, packed_schema, partitions, unpack
+from ._spark import bloom, by_bucket, cut, estimate, packed_schema, partitions, unpack
 from ._text import HASH, Segments, Words, chunks, flat, member, mix, ngram_sets, ngrams, ranges, runs
 
 N = 2
@@ -45,9 +46,12 @@ VERY_FREQUENT = 0.02  # share of all documents from which triples are used
 LEAST_FREQUENT = 8  # documents
 MOST_FREQUENT = 1_000_000  # tokens in the broadcast table, 16 MB
 BROADCAST_ROWS = 1_000_000  # of (set, tile), 40 MB; beyond that the sets are shuffled to their tiles in two steps
+COUNTED = 3_000_000  # values that a partition counts between two folds; it keeps twice as many at most, but for those seen again
 TILE_SETS = 1024  # candidates of a set from which its tiles are split into blocks
-TILE_BYTES = 16 << 20  # token sets that are verified at once, where a tile isn't larger
-PART_BYTES = 48 << 20  # of signatures or sets in one partition
+TILE_BYTES = 16 << 20  # of sketches, sets and pairs that are in work at once, where a tile isn't larger
+PART_BYTES = 96 << 20  # of signatures or sets in one partition
+LEAST_PARITIES = 256  # bits of a sketch; larger sets have 1.25 to 2.5 bits a token
+SET_BYTES = 6  # of each token's hash in verification
 SIGNATURE_BYTES = 8  # for each token of a set, by experience
 FREQUENT_WORD = 0.0001  # share of all words; the rarer ones count alike
 
@@ -64,6 +68,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null and text is not null")
 
 
+def _parts(docs: DataFrame, size: int) -> int:
+    return int(min(60_000, max(1, partitions(docs.sparkSession) // 4, size // PART_BYTES)))
+
+
 class WordLevels:
     """How often a word occurs, as a small number: 0 below FREQUENT_WORD, and 1 more at each doubling."""
 
@@ -94,9 +102,22 @@ class Sets:
         """A second content id, of other hashes of the tokens."""
         return mix(self._sum(_OTHER))
 
+    def sketches(self, some: np.ndarray) -> list[bytes]:
+        """The parities of hash buckets, of the rows `some`.
+
+        Each token of one set that isn't in the other flips one parity, so the parities of two sets differ in at most
+        as many places as the sets have tokens that aren't shared.
+        """
+        h = mix(self.token & HASH)
+        places = np.maximum(LEAST_PARITIES, 2 ** np.ceil(np.log2(np.maximum(1.25 * self.size, 1))).astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(places)])
+        at = base[self.row] + ((h >> np.uint64(20)).astype(np.int64) & (places[self.row] - 1))
+        bits = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(bool))
+        return [bits[base[i] >> 3 : base[i + 1] >> 3].tobytes() for i in some.tolist()]
+
 
 def verified_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 64-bit token hashes of some texts, one after the other, and where each begins."""
+    """The distinct token hashes of some texts, of 8 * SET_BYTES bits, one after the other, and where each begins."""
     words = Words(texts)
     at, h = ngrams(words, n)
     doc = words.doc[at]
@@ -106,6 +127,7 @@ def verified_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = words.bound[short], words.bound[short + 1]
         h = np.concatenate([h, mix(Segments(words.hash)(lo, hi) + count[short].astype(np.uint64))])
         doc = np.concatenate([doc, short])
+    h = mix(h) >> np.uint64(64 - 8 * SET_BYTES)
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
@@ -114,7 +136,7 @@ def verified_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counter:
-    """Counts of 64-bit values, folded together now and then."""
+    """Counts of 64-bit values, folded together now and then; when there are many, those seen once so far are forgotten."""
 
     def __init__(self) -> None:
         self.value, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -125,7 +147,7 @@ class _Counter:
         self.held.append(values)
         self.size += len(values)
         self.total += len(values)
-        if self.size > 6_000_000:
+        if self.size > COUNTED:
             self.fold()
 
     def fold(self) -> None:
@@ -141,6 +163,9 @@ class _Counter:
         start = runs(value[order])[0]
         self.value = value[order][start]
         self.count = np.add.reduceat(count[order], start) if len(start) else count
+        if len(self.value) > 2 * COUNTED:
+            often = self.count > 1
+            self.value, self.count = self.value[often], self.count[often]
 
     def least(self, count: float) -> tuple[np.ndarray, np.ndarray]:
         self.fold()
@@ -149,17 +174,17 @@ class _Counter:
 
 
 def _statistics(docs: DataFrame, n: int, frequent: float, frequent_word: float) -> DataFrame:
-    """kind 0: (doc_id, content id, size, other content id) of each text with words; 1: (token, documents) frequent in a
+    """kind 0: (doc_id, content id, size, other content id, sketch) of each text with words; 1: (token, documents) frequent in a
     partition; 2: (word, occurrences) frequent in a partition; 3: (0, words) of a partition."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, tokens, words = 0, _Counter(), _Counter()
 
-        def rows(kind: int, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+        def rows(kind: int, *columns: np.ndarray | pa.Array, sketch: list[bytes] | None = None) -> pa.RecordBatch:
             k = len(columns[0])
             made = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64)) for c in columns]
             made += [pa.nulls(k, pa.int64())] * (4 - len(made))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *made], names=["kind", "a", "b", "size", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *made, pa.array(sketch or [None] * k, pa.binary())], names=["kind", "a", "b", "size", "other", "sketch"])
 
         for batch in batches:
             ids = batch.column(0)
@@ -169,12 +194,14 @@ def _statistics(docs: DataFrame, n: int, frequent: float, frequent_word: float)
                 tokens.add(sets.token)
                 total += b - a
                 some = np.flatnonzero(sets.size)
-                yield rows(0, ids[a:b].take(pa.array(some)), sets.id[some], sets.size[some], sets.other()[some])
+                yield rows(0, ids[a:b].take(pa.array(some)), sets.id[some], sets.size[some], sets.other()[some], sketch=sets.sketches(some))
         for kind, (value, count) in ((1, tokens.least(max(3, frequent * total))), (2, words.least(max(2, frequent_word * words.total)))):
             yield rows(kind, value, count)
         yield rows(3, np.zeros(1, np.int64), np.array([words.total]))
 
-    return _texts(docs).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, other bigint")
+    # the fewer partitions, the rarer the tokens that one of them finds frequent
+    parts = _parts(docs, (estimate(docs) or 0))
+    return _texts(docs).coalesce(parts).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, other bigint, sketch binary")
 
 
 def level(size: int) -> int:
@@ -269,7 +296,7 @@ class _Sender:
 
     def add(self, sets: Sets, row: np.ndarray, sig: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         short = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])  # 48 bits tell signatures apart
-        self.rows.append((((sig & np.uint64(0xFFFF)) % np.uint64(self.parts)).astype(np.uint16), (row + self.n_sets).astype(np.int32), short, pos.astype(np.int32)))
+        self.rows.append((((sig & np.uint64(0xFFFF)) % np.uint64(self.parts)).astype(np.uint16), (row + self.n_sets).astype(np.int32), short, np.minimum(pos + 1, 65535).astype(np.uint16)))  # a position that is cut off lets more pass
         self.sets.append((sets.id, sets.size.astype(np.int32), owners(row, sig, pos, sets.size)))
         self.n_rows += len(row)
         self.n_sets += len(sets.id)
@@ -301,7 +328,7 @@ class _Sender:
 def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.ndarray, words: WordLevels, many: float, tokens: int) -> DataFrame:
     """Distinct pairs (x, y) of content ids that share a signature and pass the bounds; tokens: of all sets."""
     # what a set says of itself is repeated in each bucket
-    parts = min(60_000, max(1, partitions(docs.sparkSession) // 2, SIGNATURE_BYTES * tokens // PART_BYTES))
+    parts = _parts(docs, SIGNATURE_BYTES * tokens)
     shared = docs.sparkSession.sparkContext.broadcast((table, count, words))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,48 +381,122 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
         return x, y
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpack(batches, {"id": "u8", "size": "i4", "low": "u4", "n": "i4", "sig": "u1", "pos": "i4"})
-        wide = np.zeros((len(got["pos"]), 8), np.uint8)
+        got = unpack(batches, {"id": "u8", "size": "i4", "low": "u4", "n": "i4", "sig": "u1", "pos": "u2"})
+        place = got["pos"].astype(np.int32) - 1
+        wide = np.zeros((len(place), 8), np.uint8)
         wide[:, :6] = got["sig"].reshape(-1, 6)
         every = wide.view("<u8")[:, 0]
         ids, content = np.unique(got["id"], return_inverse=True)
         heads = np.repeat(np.arange(len(got["n"]), dtype=np.int32), got["n"])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for part in range(PARTS):  # one share of the signatures after the other, to hold less at once
             own = np.flatnonzero((every >> np.uint64(44)) % np.uint64(PARTS) == part)
-            x, y = join(every[own], heads[own], got["pos"][own], content, got["size"], got["low"].reshape(-1, 3), ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
+            x, y = join(every[own], heads[own], place[own], content, got["size"], got["low"].reshape(-1, 3), ids)
+            found.append((x, y))
+            if part == PARTS - 1 or sum(len(x) for x, _ in found) > 4_000_000:
+                x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((y, x))
+                x, y, found = x[order], y[order], []
+                new = np.ones(len(x), bool)
+                new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)), pa.array(y[new].view(np.int64))], names=["x", "y"])
 
     packed = _texts(docs).mapInArrow(emit, packed_schema(list(_Sender.names)))
-    return by_bucket(packed, parts).mapInArrow(meet, "x bigint, y bigint").distinct()
+    return by_bucket(packed, parts).mapInArrow(meet, "x bigint, y bigint").repartition(partitions(docs.sparkSession), "x").distinct()
+
+
+Pairs = list[np.ndarray]
+_TILED = ("tile", "x", "y", "a", "b", "data")
+
+
+def _by_tile(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives `work` the sets (x, a, b, data) and the pairs (x, y) of some whole tiles at a time, from rows sorted by tile."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[pa.RecordBatch] = []
+        pairs: Pairs = [np.zeros((2, 0), np.int64)]
+        size, last = 0, None
+
+        def hold(b: pa.RecordBatch) -> None:
+            nonlocal size
+            own = b.filter(b.column("data").is_null())
+            sets.append(b.filter(b.column("data").is_valid()))
+            pairs.append(np.stack([own.column(c).to_numpy() for c in ("x", "y")]))
+            size += sets[-1].nbytes + pairs[-1].nbytes
+
+        for b in batches:
+            tile = b.column("tile").to_numpy()
+            if size >= TILE_BYTES and len(tile):
+                end = int(np.count_nonzero(tile == last))  # the rest of the tile that is open
+                hold(b.slice(0, end))
+                b = b.slice(end)
+                if len(b):
+                    yield work(pa.Table.from_batches(sets), np.concatenate(pairs, axis=1))
+                    sets, pairs, size = [], [np.zeros((2, 0), np.int64)], 0
+            if len(b):
+                hold(b)
+                last = tile[-1]
+        if sets:
+            yield work(pa.Table.from_batches(sets), np.concatenate(pairs, axis=1))
+
+    return of
+
+
+def _distinct(sets: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, a, b, bytes, offsets) of the sets, each once, and the pairs as two columns of their positions."""
+    ids, pick = np.unique(sets["x"].to_numpy(), return_index=True)
+    data, off = flat(sets["data"].take(pa.array(pick)))
+    x, y = np.searchsorted(ids, pairs)
+    return ids, sets["a"].to_numpy()[pick], sets["b"].to_numpy()[pick], data, off, x, y
+
 
+def _alike(t: float) -> Callable[[pa.Table, np.ndarray], pa.RecordBatch]:
+    """The pairs whose sketches don't rule out the similarity t; a: the size of a set, data: its sketch."""
 
-def _verifier(t: float, links: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs and the sets that they need, tile by tile in, similar ones out: as pairs, or as links and stars.
+    def work(sets: pa.Table, pairs: np.ndarray) -> pa.RecordBatch:
+        ids, size, _, data, off, x, y = _distinct(sets, pairs)
+        width = np.diff(off)
+        swap = width[x] < width[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        need = _ceil(t / (1 + t) * (size[x] + size[y]))
+        differ = np.empty(len(x), np.int64)
+        for wide, narrow in {(int(p), int(q)) for p, q in zip(*np.unique(np.stack([width[x], width[y]]), axis=1), strict=True)} if len(x) else ():
+            own = np.flatnonzero((width[x] == wide) & (width[y] == narrow))
+            rows = {w: np.flatnonzero(width == w) for w in (wide, narrow)}
+            bits = {w: data[ranges(off[r], width[r])].reshape(len(r), w // narrow, narrow) for w, r in rows.items()}
+            folded = {w: np.bitwise_xor.reduce(b, axis=1).view(np.uint64) for w, b in bits.items()}  # to the sketch of the smaller size
+            for i in range(0, len(own), 1 << 16):
+                some = own[i : i + (1 << 16)]
+                u, v = folded[wide][np.searchsorted(rows[wide], x[some])], folded[narrow][np.searchsorted(rows[narrow], y[some])]
+                differ[some] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+        good = differ <= size[x] + size[y] - 2 * need
+        return pa.RecordBatch.from_arrays([pa.array(ids[x[good]]), pa.array(ids[y[good]])], names=["x", "y"])
+
+    return work
+
+
+def _verifier(t: float, links: bool) -> Callable[[pa.Table, np.ndarray], pa.RecordBatch]:
+    """The similar pairs, as pairs of the earliest documents (a) of both sets, or as links and stars; b: the documents of a set.
 
     links: (0, content, links) for each content, partial sums; (1, u, v) with u < v: documents that are in one part.
     """
 
-    def verified(held: list[pa.RecordBatch], pairs: list[np.ndarray]) -> pa.RecordBatch:
-        sets = pa.Table.from_batches(held)
-        ids, pick = np.unique(sets["x"].to_numpy(), return_index=True)
-        raw = sets["data"].take(pa.array(pick)).combine_chunks()
-        data, off = flat(raw)
-        size = np.diff(off) // 8
-        begin = off[:-1] // 8
-        token = np.unique(np.ascontiguousarray(data).view("<u8"), return_inverse=True)[1].astype(np.int32)
-        first, docs = (sets[c].to_numpy()[pick] for c in ("first", "n_docs"))
-        x, y = np.searchsorted(ids, np.concatenate(pairs, axis=1))
-        key = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)) if len(x) else np.zeros(0, np.int64)
-        x, y = (key // len(ids), key % len(ids)) if len(key) else (key, key)
+    def work(sets: pa.Table, pairs: np.ndarray) -> pa.RecordBatch:
+        ids, first, docs, data, off, x, y = _distinct(sets, pairs)
+        size, begin = np.diff(off) // SET_BYTES, off[:-1] // SET_BYTES
+        wide = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+        wide[:, :SET_BYTES] = data.reshape(-1, SET_BYTES)
+        token = np.unique(wide.view("<u8")[:, 0], return_inverse=True)[1].astype(np.int32)
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
         mark, common = np.zeros(int(token.max(initial=0)) + 1, np.uint8), np.zeros(len(x), np.int64)
         start, length = runs(x)
         for s, k in zip(start.tolist(), length.tolist(), strict=True):
-            i = x[s]
-            own = token[begin[i] : begin[i] + size[i]]
+            own = token[begin[x[s]] : begin[x[s]] + size[x[s]]]
             mark[own] = 1
             while k:  # the partners of a set, some at a time
                 n = max(1, int(np.searchsorted(np.cumsum(size[y[s : s + k]]), 4_000_000, "right")))
-                other = y[s : s + n] if n < k else y[s : s + k]
+                other = y[s : s + min(n, k)]
                 at = np.concatenate([[0], np.cumsum(size[other])[:-1]])
                 common[s : s + len(other)] = np.add.reduceat(mark[token[ranges(begin[other], size[other])]], at, dtype=np.int64)
                 s, k = s + len(other), k - len(other)
@@ -424,35 +525,36 @@ def _verifier(t: float, links: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
         a = np.concatenate([ids[linked], first[order][low][leaf]])
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(np.concatenate([n[linked].astype(np.int64), first[order][leaf]]))], names=["kind", "a", "b"])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[pa.RecordBatch] = []
-        pairs: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        size, last = 0, None
+    return work
 
-        def hold(b: pa.RecordBatch) -> None:
-            nonlocal size
-            pair = b.column("data").is_null()
-            own, sets_ = b.filter(pair), b.filter(b.column("data").is_valid())
-            sets.append(sets_)
-            pairs.append(np.stack([own.column(c).to_numpy() for c in ("x", "y")]))
-            size += sets_.nbytes + pairs[-1].nbytes
 
-        for b in batches:
-            tile = b.column("tile").to_numpy()
-            if size >= TILE_BYTES and len(tile):
-                end = int(np.count_nonzero(tile == last))  # the rest of the tile that is open
-                hold(b.slice(0, end))
-                b = b.slice(end)
-                if len(b):
-                    yield verified(sets, pairs)
-                    sets, pairs, size = [], [np.zeros((2, 0), np.int64)], 0
-            if len(b):
-                hold(b)
-                last = tile[-1]
-        if sets:
-            yield verified(sets, pairs)
+def _tiles(pairs: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tile, x, y) of pairs of contents, and (id, tile, first, n_docs) of the contents that each tile needs; both are written."""
+    ends = pairs.select(F.col("x").alias("id"), F.col("y").alias("o")).union(pairs.select("y", "x"))
+    near = ends.groupBy("id").agg(F.min("o").alias("low"), F.count("*").alias("degree"))
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("degree") / TILE_SETS, F.lit(1.0))))).cast("int")
+    near = cut(near.select("id", F.least("id", "low").alias("low"), blocks.alias("blocks")))
+    x, y = (near.select(F.col("id").alias(k), F.col("low").alias("low" + k), F.col("blocks").alias("blocks" + k)) for k in "xy")
+    n = F.greatest("blocksx", "blocksy")
+    p, q = (F.pmod(F.xxhash64(k), n) for k in "xy")
+    tile = F.xxhash64(F.least("lowx", "lowy"), n, F.least(p, q), F.greatest(p, q))
+    tiled = cut(pairs.join(x, "x").join(y, "y").select(tile.alias("tile"), "x", "y"))
+    wanted = tiled.select("tile", F.col("x").alias("id")).union(tiled.select("tile", "y")).distinct()
+    return tiled, cut(wanted.join(content.select("id", "first", "n_docs"), "id"))
 
-    return of
+
+def _sent(sets: DataFrame, wanted: DataFrame, tiled: DataFrame, a: str, b: str, size: float) -> DataFrame:
+    """The sets (id, first, data) in each tile that wants them, and its pairs: partitions of whole tiles, sorted by tile.
+
+    size: bytes of a set.
+    """
+    k = wanted.count()
+    sent = sets.join(F.broadcast(wanted) if k <= BROADCAST_ROWS else wanted, ["id", "first"])
+    none = F.lit(None).cast("bigint")
+    rows = sent.select("tile", F.col("id").alias("x"), none.alias("y"), F.col(a).alias("a"), F.col(b).alias("b"), "data")
+    rows = rows.union(tiled.select("tile", "x", "y", none, none, F.lit(None).cast("binary")))
+    parts = max(partitions(sets.sparkSession), int(k * size) // PART_BYTES)
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile")
 
 
 @dataclass(frozen=True)
@@ -481,20 +583,15 @@ def _found(docs: DataFrame, links: bool, threshold: float, n: int, frequent: flo
     # the share bounds the number of words that can have it
     common = occurring.where((F.col("kind") == 2) & (F.col("b") >= frequent_word * spoken)).toArrow()
     words = WordLevels(common.column("a").to_numpy().view(np.uint64), common.column("b").to_numpy() / spoken, frequent_word)
-    content = members.groupBy("id", "other").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs"))
+    content = cut(members.groupBy("id", "other").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")))
 
     met = cut(_candidates(docs, n, threshold, table, count, words, very_frequent * total, tokens))
-    near = met.select(F.col("x").alias("id"), F.col("y").alias("o")).union(met.select("y", "x")).groupBy("id").agg(F.min("o").alias("low"), F.count("*").alias("degree"))
-    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("degree") / TILE_SETS, F.lit(1.0))))).cast("bigint")
-    near = cut(near.select("id", F.least("id", "low").alias("low"), blocks.alias("blocks")))
-    x, y = (near.select(F.col("id").alias(k), F.col("low").alias("low" + k), F.col("blocks").alias("blocks" + k)) for k in "xy")
-    n_blocks = F.greatest("blocksx", "blocksy")
-    p, q = (F.pmod(F.xxhash64(k), n_blocks) for k in "xy")
-    tile = F.xxhash64(F.least("lowx", "lowy"), n_blocks, F.least(p, q), F.greatest(p, q))
-    pairs = cut(met.join(x, "x").join(y, "y").select(tile.alias("tile"), "x", "y"))
+    mean = tokens / max(total, 1)
+    tiled, wanted = _tiles(met, content)
+    sketches = stats.where("kind = 0").select(F.col("b").alias("id"), F.col("a").alias("first"), "size", F.col("sketch").alias("data"))
+    met = cut(_sent(sketches, wanted, tiled, "size", "n_docs", mean / 4).mapInArrow(_by_tile(_alike(threshold)), "x bigint, y bigint"))
 
-    wanted = pairs.select("tile", F.col("x").alias("id")).union(pairs.select("tile", "y")).distinct()
-    wanted = cut(wanted.join(content.select("id", "first", "n_docs"), "id"))
+    tiled, wanted = _tiles(met, content)
     maybe = spark.sparkContext.broadcast(bloom(wanted.select("first").distinct(), "first"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,19 +600,14 @@ def _found(docs: DataFrame, links: bool, threshold: float, n: int, frequent: flo
             for a, b in chunks(batch.column(1)):
                 ids = Sets(batch.column(1)[a:b], n).id
                 token, bound = verified_sets(batch.column(1)[a:b], n)
+                token = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
                 packed = [token[bound[i] : bound[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids.view(np.int64)), pa.array(packed, pa.binary())], names=["first", "id", "data"])
 
     made = _texts(docs).mapInArrow(sets_of, "first bigint, id bigint, data binary")
-    k = wanted.count()
-    sent = made.join(F.broadcast(wanted) if k <= BROADCAST_ROWS else wanted, ["id", "first"])
-    none = F.lit(None).cast("bigint")
-    rows = sent.select("tile", F.col("id").alias("x"), none.alias("y"), "first", "n_docs", "data")
-    rows = rows.union(pairs.select("tile", "x", "y", none, none, F.lit(None).cast("binary")))
-    parts = max(partitions(spark), 8 * k * tokens // max(total, 1) // PART_BYTES)
-    rows = rows.repartition(parts, "tile").sortWithinPartitions("tile")
+    rows = _sent(made, wanted, tiled, "first", "n_docs", SET_BYTES * mean)
     schema = "kind int, a bigint, b bigint" if links else "x bigint, y bigint, jaccard double"
-    return _Found(members, content, rows.mapInArrow(_verifier(threshold, links), schema))
+    return _Found(members, content, rows.mapInArrow(_by_tile(_verifier(threshold, links)), schema))
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent: float = FREQUENT, very_frequent: float = VERY_FREQUENT, least_frequent: int = LEAST_FREQUENT, frequent_word: float = FREQUENT_WORD) -> DataFrame:
@@ -525,7 +617,8 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, fre
     with similarity >= threshold, as their earliest documents, and one row (earliest, copy, 1.0) for each other
     document of a content: the similarity of any pair follows from these, and copies add no more rows than there are.
 
-    Contents are told apart by 128 bits of hash, and sets are compared by 64-bit hashes of their tokens.
+    Contents are told apart by 128 bits of hash, and sets are compared by 48-bit hashes of their tokens: in
+    one of 10^9 pairs of sets of 500 tokens, two different ones count as the same.
     Rows without doc_id or text, and texts without words, pair with nothing.  doc_id is an integer, or a string of one;
     any other string is an error of the cast.  A text of fewer than n words is the set of the
     one token of all its words; long texts are sets of all their tokens.  A repeated row adds nothing.  Rows that share a doc_id
@@ -550,7 +643,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, frequent:
     found = _found(docs, True, threshold, n, frequent, very_frequent, least_frequent, frequent_word)
     rows = cut(found.rows)
     links = rows.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
-    content = cut(found.content.join(links, "id", "left"))
+    content = found.content.join(links, "id", "left")
     # a content of many documents is a hot key of this join, which adaptive execution splits
     own = cut(found.members.join(content, ["id", "other"]).select("doc_id", "first", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
     edges = rows.where("kind = 1").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).union(own.where("doc_id <> first").select("first", "doc_id"))
