@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparrowtext.llm import bpe, decontaminate, jaccard, line_dedup, quality_crf
 from sparrowtext.llm._spark import shared_dir
@@ -21,11 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copied lines go, and documents of which nothing else is left; n_chars follows the text."""
-    kept = line_dedup.without_copies(docs, min_words=1).where("n_dropped = 0 or trim(both ' \t\r\n' from text) <> ''")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    """Copied lines go, and documents of which nothing else is left; near copies of whole documents are left to the next stage."""
+    return line_dedup.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
