@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException as SparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
 from ..functions.analysis import STANDARD, Analyzer
-from ..sources.storage import new_folder
+from ..sources.storage import cut, new_folder
 
 TABLES = ("documents", "forward", "postings", "terms", "fields")
 
@@ -40,10 +41,14 @@ class SearchIndex:
     def build(cls, docs: DataFrame, analyzer: Analyzer | None = None, sequence: str | None = None) -> SearchIndex:
         """An index of (doc_id, fields); of rows that share a doc_id the last by `sequence` counts.
 
+        Rows have no order of their own, so without `sequence`, and of rows that tie, the one whose fields are the greatest as JSON counts.
         Rows without doc_id, with an empty one or without fields are an error of the op `add`, found when the plan runs.
         """
         analyzer = analyzer or STANDARD
-        docs = _latest(_checked(docs), sequence)
+        return cls._build(_latest(_checked(docs), sequence), analyzer)
+
+    @classmethod
+    def _build(cls, docs: DataFrame, analyzer: Analyzer) -> SearchIndex:
         each = docs.select("doc_id", F.explode("fields").alias("field", "text")).where("text is not null")
         forward = each.select("field", "doc_id", analyzer.terms(F.col("text")).alias("terms")).withColumn("doc_len", F.size("terms"))
         return cls._of(analyzer, docs.select("doc_id"), forward, forward.select("field").distinct())
@@ -61,7 +66,7 @@ class SearchIndex:
         spark = self.documents.sparkSession
         path = path or new_folder(spark, "index")
         self.documents.write.parquet(f"{path}/documents")
-        self.forward.write.partitionBy("field").parquet(f"{path}/forward")
+        self.forward.sortWithinPartitions("field", "doc_id").write.partitionBy("field").parquet(f"{path}/forward")
         forward = _read(spark, path, "forward", self.forward)
         kept = SearchIndex._of(self.analyzer, spark.read.parquet(f"{path}/documents"), forward, self.fields)
         kept.postings.sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
@@ -84,7 +89,7 @@ class SearchIndex:
     def add(self, docs: DataFrame, sequence: str | None = None) -> SearchIndex:
         """With `docs` added; a document that was there under the same id is replaced as a whole."""
         docs = _latest(_checked(docs), sequence)
-        new, kept = SearchIndex.build(docs, self.analyzer), self.delete(docs.select("doc_id"))
+        new, kept = SearchIndex._build(docs, self.analyzer), self.delete(docs.select("doc_id"))
         return replace(
             new,
             documents=kept.documents.union(new.documents),
@@ -100,6 +105,12 @@ class SearchIndex:
         postings = self.postings.join(gone, "doc_id", "left_anti")
         return replace(self, documents=self.documents.join(gone, "doc_id", "left_anti"), forward=self.forward.join(gone, "doc_id", "left_anti"), postings=postings, terms=dictionary(postings))
 
+    def present(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, present) of each id: whether deleting it would remove a document."""
+        asked = ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        here = self.documents.select("doc_id", F.lit(True).alias("present")).distinct()
+        return asked.join(here, "doc_id", "left").select("doc_id", F.coalesce("present", F.lit(False)).alias("present"))
+
     def has(self, doc_id: str) -> bool:
         return not self.documents.where(F.col("doc_id") == doc_id).limit(1).isEmpty()
 
@@ -135,7 +146,16 @@ def _checked(docs: DataFrame) -> DataFrame:
 
 
 def _latest(docs: DataFrame, sequence: str | None) -> DataFrame:
-    if sequence is None:
+    """One row of each doc_id.  Only rows of an id that recurs are exchanged by it, so a load of new ids moves no text."""
+    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    try:
+        none = again.isEmpty()
+    except SparkException:  # a row that isn't a document: the plan itself will say so
+        none = True
+    if none:
         return docs.select("doc_id", "fields")
-    order = F.expr(f"row_number() over (partition by doc_id order by `{sequence}` desc)")
-    return docs.withColumn("_n", order).where("_n = 1").select("doc_id", "fields")
+    again = cut(again)
+    whole = F.to_json(F.array_sort(F.map_entries("fields")))
+    order = Window.partitionBy("doc_id").orderBy(*([F.col(f"`{sequence}`").desc()] if sequence else []), whole.desc())
+    last = docs.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return docs.join(again, "doc_id", "left_anti").select("doc_id", "fields").union(last.select("doc_id", "fields"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import py_lower
 from ..plans.compile import bm25, scores
+from ..sources.storage import cut
 from .index import SearchIndex
 from .parser import Parser
 from .query import DEFAULT_FIELD, Query
@@ -16,15 +17,35 @@ SOURCE_TERMS = 25
 
 def top(scored: DataFrame, n: int = 0) -> DataFrame:
     """(rank, doc_id, score, total): best first, equal scores by doc_id; all of them if n < 1.  total counts every match."""
-    total = scored.agg(F.count("*").alias("total"))
     # scores that differ in the last places of a sum are equal
-    best = scored.orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
-    if n > 0:
-        best = best.limit(n)
-    ranked = best.withColumn("rank", F.expr("row_number() over (order by round(score, 9) desc, doc_id)"))
+    order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
+    if n < 1:
+        return _all(scored, order)
+    total = scored.agg(F.count("*").alias("total"))
+    ranked = scored.orderBy(*order).limit(n).withColumn("rank", F.expr("row_number() over (order by round(score, 9) desc, doc_id)"))
     return ranked.crossJoin(F.broadcast(total)).select("rank", "doc_id", "score", "total")  # total is one row
 
 
+def _all(scored: DataFrame, order: list[Column]) -> DataFrame:
+    """Every match with its rank: partitions of ranges of scores, each in order, and how many rows are before each."""
+    at = F.monotonically_increasing_id()  # partition and place in it
+    rows = cut(scored.select("doc_id", "score").orderBy(*order).withColumn("_at", at))
+    part = F.shiftright("_at", 33)
+    sizes = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, total = [], 0
+    for k in sorted(sizes):
+        before += [F.lit(k), F.lit(total)]
+        total += sizes[k]
+    first = F.create_map(*before)[part] if before else F.lit(0)
+    rank = (first + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")
+    return rows.select(rank.alias("rank"), "doc_id", "score", F.lit(total).cast("bigint").alias("total"))
+
+
+def count(index: SearchIndex, query: Query | None) -> DataFrame:
+    """One row: the number of matches, 0 if there is none."""
+    return scores(query, index).agg(F.count("*").alias("total"))
+
+
 def search(index: SearchIndex, query: Query | None, n: int = 0) -> DataFrame:
     return top(scores(query, index), n)
 
@@ -37,7 +58,9 @@ def more_like_this(index: SearchIndex, doc_id: str, field: str, n: int = 0) -> D
     """Documents that share the most telling terms of one document, ranked by the sum of their scores."""
     stats = index.stats
     here = index.postings.where(F.col("field") == field)
-    own = here.where(F.col("doc_id") == doc_id).select("term", "tf").join(index.terms.where(F.col("field") == field).select("term", "df"), "term")
+    # the terms of one document are one row of the forward table, which is ordered by doc_id
+    source = index.forward.where((F.col("field") == field) & (F.col("doc_id") == doc_id)).select(F.explode("terms").alias("term"))
+    own = source.groupBy("term").agg(F.count("*").alias("tf")).join(index.terms.where(F.col("field") == field).select("term", "df"), "term")
     n_docs = F.lit(float(stats.documents))
     weight = F.col("tf") * F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     chosen = own.orderBy(weight.desc(), "term").limit(SOURCE_TERMS).select("term", "df")

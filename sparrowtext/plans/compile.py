@@ -7,6 +7,7 @@ like are column expressions over those.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -73,6 +74,16 @@ def predicate(q: Leaf, index: SearchIndex) -> Column | None:
 _PUSHED = (Term, Terms, Phrase, Prefix, Range)
 
 
+def _literal(q: Leaf) -> str:
+    """What every term that a leaf picks begins with."""
+    if isinstance(q, Wildcard):
+        return re.split("[*?]", py_lower(q.pattern).strip())[0]
+    if isinstance(q, Regexp) and "|" not in q.pattern:
+        head = re.match(r"\w*", q.pattern)[0]
+        return head if len(head) == len(q.pattern) else head[:-1]  # what follows may repeat the last character
+    return ""
+
+
 def scores(q: Query | None, index: SearchIndex) -> DataFrame:
     """(doc_id, score) of every document that matches."""
     spark = index.documents.sparkSession
@@ -93,7 +104,7 @@ def scores(q: Query | None, index: SearchIndex) -> DataFrame:
         else:
             rows = rows.withColumn("slots", F.array(F.lit(0)))
         picked.append(rows.withColumn("leaf", F.lit(i)))
-        scan.append(here if isinstance(leaf, _PUSHED) else F.col("field") == leaf.name)
+        scan.append(here if isinstance(leaf, _PUSHED) else (F.col("field") == leaf.name) & F.col("term").startswith(_literal(leaf)))
     columns: dict[Leaf, Column] = {}
     base = None
     if picked:

@@ -74,3 +74,14 @@ WHERE {f'rank <= {n}' if n else 'true'}"""
 
 def leaf(where: str) -> str:
     return f"SELECT doc_id, sum(s) AS score FROM bm WHERE {where} GROUP BY doc_id"
+
+
+def cells(cell: str, kind: str, value: str, pairs: str) -> str:
+    """`value` from the table m, row by row, of an edit distance of a and b; `cell`: the entry at i, j > 0, number k from 0."""
+    return f"""
+WITH RECURSIVE p AS (SELECT a, b, length(a) AS la, length(b) AS lb {pairs}),
+r(a, b, la, lb, n, m) AS (
+  SELECT a, b, la, lb, 0, CAST([] AS {kind}[]) FROM p
+  UNION ALL SELECT a, b, la, lb, n + 1, list_append(m, CAST(CASE WHEN i = 0 THEN j WHEN j = 0 THEN i ELSE {cell} END AS {kind}))
+  FROM (SELECT *, n AS k, n // (lb + 1) AS i, n % (lb + 1) AS j FROM r) WHERE n < (la + 1) * (lb + 1))
+SELECT a, b, {value} AS value FROM r WHERE n = (la + 1) * (lb + 1)"""

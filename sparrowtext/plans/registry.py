@@ -14,7 +14,7 @@ from ..operators import query as q
 from ..operators import search as se
 from ..operators.index import SearchIndex
 from ..operators.parser import Parser
-from ..sources.storage import documents
+from ..sources.storage import documents, spread
 from ..streaming.maintain import apply_changes
 from . import oracle as o
 
@@ -32,7 +32,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The index of the table documents, written once in an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = SearchIndex.build(documents(read(spark, sf_dir, "documents").where("doc_id is not null"), "doc_id", FIELDS)).save()
+        _INDEXES[key] = SearchIndex.build(documents(spread(read(spark, sf_dir, "documents")).where("doc_id is not null"), "doc_id", FIELDS)).save()
     return _INDEXES[key]
 
 
@@ -41,7 +41,7 @@ def _searched(query: q.Query, n: int = 10) -> Query:
 
 
 def _docs(made: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: made(read(spark, d, "documents"))
+    return lambda spark, d: made(spread(read(spark, d, "documents")))
 
 
 def _pairs(made: Callable) -> Query:
@@ -74,6 +74,20 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     return se.facet_counts(apply_changes(start, changes), "type")
 
 
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under forty ids, so that each comes many times: the last one counts."""
+    docs = read(spark, d, "documents").where("doc_id is not null").withColumn("seq", F.col("doc_id"))
+    index = SearchIndex.build(documents(docs, F.col("doc_id") % 40, FIELDS, "seq"), sequence="seq")
+    more = documents(docs.where("doc_id % 3 = 0").withColumn("seq", -F.col("doc_id")), F.col("doc_id") % 20, FIELDS, "seq")  # here the first
+    return se.search(index.add(more, "seq"), q.Prefix("text", "th"), 0).withColumn("score", F.round("score", 6))
+
+
+def _present(spark: SparkSession, d: str) -> DataFrame:
+    """Which ids of labels and items are documents."""
+    ids = read(spark, d, "labels").select("doc_id").union(read(spark, d, "benchmark").select("item_id")).where("doc_id is not null")
+    return corpus(spark, d).present(ids.union(ids.select(-F.col("doc_id") - 1)))
+
+
 HIGHLIGHT = Parser().parse('from "of the" ste* +lang:und -clown')
 TREE = "from +th* -idiot lang:en"
 
@@ -108,6 +122,11 @@ QUERIES: dict[str, Query] = {
     "constant_score": _searched(q.constant_score(q.Prefix("text", "thre"), 3.0)),
     "dismax_multifield": _searched(q.dis_max(0.3, q.Term("text", "from"), q.Term("lang", "en"), q.Term("text", "idiot"))),
     "parsed_query": lambda s, d: se.search_string(corpus(s, d), TREE, 10).withColumn("score", F.round("score", 6)),
+    "parsed_phrase": lambda s, d: se.search_string(corpus(s, d), 'text:"Released under MIT"', 0).withColumn("score", F.round("score", 6)),
+    "parsed_range": lambda s, d: se.search_string(corpus(s, d), "text:[thr TO ths}", 10).withColumn("score", F.round("score", 6)),
+    "parsed_group": lambda s, d: se.search_string(corpus(s, d), "+(text:from text:idiot) +lang:de", 10).withColumn("score", F.round("score", 6)),
+    "match_count": lambda s, d: se.count(corpus(s, d), Parser().parse("+text:from lang:de")),
+    "match_count_none": lambda s, d: se.count(corpus(s, d), q.Term("text", "no such term")),
     "suggest": lambda s, d: se.suggest(corpus(s, d), "text", " Thr", 15),
     "spellcheck": lambda s, d: se.spell_check(corpus(s, d), "text", "clwn", 2, 20),
     "more_like_this": lambda s, d: se.more_like_this(corpus(s, d), "7", "text", 10).withColumn("score", F.round("score", 6)),
@@ -124,6 +143,8 @@ QUERIES: dict[str, Query] = {
     "wildcard_match_names": lambda s, d: read(s, d, "part").select("p_partkey", sim.wildcard_match(F.col("p_name"), "*e? *a*").alias("matches")),
     "highlight": _docs(lambda x: x.select("doc_id", Highlighter("<b>", "</b>").highlight(F.col("text"), HIGHLIGHT).alias("marked"))),
     "upsert_delete_search": _upserted,
+    "upsert_repeated_ids": _repeated,
+    "present": _present,
     "stream_changes": _streamed,
 }
 
@@ -144,6 +165,13 @@ def _phrase(*terms: str) -> str:
     return o.ranked(f"SELECT t0.doc_id, {total} AS score FROM bm t0 {join} WHERE t0.field = 'text' AND t0.term = '{terms[0]}' AND len(list_filter(t0.positions, lambda x: {holds})) > 0", 0)
 
 
+_LAST = {
+    f: f"""SELECT doc_id, {f} AS text FROM last"""
+    for f in FIELDS
+}
+_LAST_CTE = """firsts AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS doc_id, text, lang, source, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id DESC) AS r FROM documents WHERE doc_id IS NOT NULL),
+seconds AS (SELECT CAST(doc_id % 20 AS VARCHAR) AS doc_id, text, lang, source, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS r FROM documents WHERE doc_id % 3 = 0),
+last AS (SELECT * FROM seconds WHERE r = 1 UNION ALL SELECT * FROM firsts WHERE r = 1 AND doc_id NOT IN (SELECT doc_id FROM seconds))"""
 _CHANGED = {
     f: f"""SELECT doc_id, {f} AS text FROM (
   SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.lang = 'en' AND b.item_id IS NOT NULL THEN b.text ELSE d.text END AS text, d.lang, d.source
@@ -216,12 +244,36 @@ c AS (SELECT n_name, left(up, 1) AS f, string_split(translate(left(up, 1), 'BFPV
   replace(translate(substring(up, 2), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '111122222222334556000000--'), '-', ''), '') AS cs FROM u)
 SELECT n_name, CASE WHEN f = '' THEN '' ELSE f || left(array_to_string(list_transform(list_filter(range(2, len(cs) + 1), lambda i: cs[i] <> cs[i-1] AND cs[i] <> '0'), lambda i: cs[i]), '') || '000', 3) END AS code FROM c""",
     "levenshtein_pairs": f"SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS value {_NATIONS}",
+    "osa_pairs": o.cells(
+        "least(m[k - lb] + 1, m[k] + 1, m[k - lb - 1] + CAST(a[i] <> b[j] AS INTEGER), CASE WHEN i > 1 AND j > 1 AND a[i] = b[j - 1] AND a[i - 1] = b[j] THEN m[k - 2 * lb - 3] + 1 ELSE 9999 END)",
+        "INTEGER",
+        "m[len(m)]",
+        _NATIONS,
+    ),
+    "ngram_similarity_pairs": o.cells(
+        "least(m[k - lb] + 1, m[k] + 1, m[k - lb - 1] + (CAST(a[i] <> b[j] AS INTEGER) + CAST(CASE WHEN i > 1 THEN a[i - 1] ELSE '' END <> CASE WHEN j > 1 THEN b[j - 1] ELSE '' END AS INTEGER)) / (CASE WHEN i = 1 AND j = 1 THEN 1 ELSE 2 END))",
+        "DOUBLE",
+        "round(1 - m[len(m)] / greatest(la, lb), 6)",
+        _NATIONS,
+    ),
     "jaro_pairs": f"SELECT a, b, round(jaro_similarity(a, b), 6) AS value {_NATIONS}",
     "jaro_winkler_pairs": f"""SELECT a, b, round(CASE WHEN j < 0.7 THEN j ELSE j + least(0.1::DOUBLE, 1.0::DOUBLE / greatest(length(a), length(b))) * p * (1 - j) END, 6) AS value
 FROM (SELECT a, b, jaro_similarity(a, b) AS j, length(a) - length(ltrim_same) AS p FROM (
   SELECT a, b, substring(a, 1 + coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(length(a), length(b)))::INTEGER) AS ltrim_same {_NATIONS}))""",
     "lev_similarity_pairs": f"SELECT a, b, round(CASE WHEN length(a) = 0 OR length(b) = 0 THEN CAST(length(a) = length(b) AS INTEGER) ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS value {_NATIONS}",
     "wildcard_match_names": "SELECT p_partkey, p_name LIKE '%e_ %a%' AS matches FROM part",
+    "upsert_repeated_ids": o.ranked(o.leaf("field = 'text' AND starts_with(term, 'th')"), 0, "", _LAST_CTE + "," + o.index(_LAST, "SELECT doc_id FROM last")),
+    "present": """WITH ids AS (SELECT doc_id FROM labels UNION SELECT item_id FROM benchmark), every AS (SELECT doc_id FROM ids WHERE doc_id IS NOT NULL UNION SELECT -doc_id - 1 FROM ids WHERE doc_id IS NOT NULL)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) AS present FROM every""",
+    "parsed_phrase": _phrase("releas", "und", "mit"),
+    "parsed_range": _leaf("field = 'text' AND term >= 'thr' AND term < 'ths'"),
+    "parsed_group": o.ranked(
+        "SELECT g.doc_id, g.score + m.score AS score FROM g JOIN m USING (doc_id)",
+        10,
+        f"""m AS ({o.leaf("field = 'lang' AND term = 'de'")}), g AS ({o.leaf("field = 'text' AND term IN ('from', 'idiot')")})""",
+    ),
+    "match_count": f"WITH {o.index()} SELECT count(DISTINCT doc_id) AS total FROM post WHERE field = 'text' AND term = 'from'",
+    "match_count_none": "SELECT CAST(0 AS BIGINT) AS total",
     "upsert_delete_search": o.ranked(o.leaf("field = 'text' AND term = 'from'"), 0, "", o.index(_CHANGED, "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'")),
     "highlight": f"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+|[^\\p{{L}}\\p{{Nd}}]+') AS ps FROM documents),
 u AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p),

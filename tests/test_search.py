@@ -196,9 +196,55 @@ def test_stream(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert ids(keeper.index, q.MatchAll()) == ["2", "3"] and ids(keeper.index, q.Prefix("f", "e")) == ["2"] and ids(keeper.index, q.Terms("f", ("alpha", "delta"))) == []
-    batch = max(keeper.versions)
+    batch = max(keeper.versions())
     before = keeper.index
-    keeper.versions[batch - 1] = keeper.versions[min(keeper.versions)] if batch - 1 not in keeper.versions else keeper.versions[batch - 1]
     keeper.merge(spark.createDataFrame([("add", "9", {"f": "new"}, 9)], schema), batch + 1)
     keeper.merge(spark.createDataFrame([("add", "9", {"f": "new"}, 9)], schema), batch + 1)
     assert keeper.index.documents.count() == before.documents.count() + 1
+
+
+def test_repeated_ids(spark):
+    rows = [("1", "alpha beta", 1), ("1", "alpha gamma", 2), ("2", "alpha", 1), ("1", "delta", 0)]
+    docs = documents(spark.createDataFrame(rows, "id string, body string, seq int"), "id", ["body"], "seq")
+    last = SearchIndex.build(docs, sequence="seq")
+    assert last.documents.count() == 2 and ids(last, q.Term("body", "gamma")) == ["1"] and ids(last, q.Term("body", "delta")) == []
+    greatest = SearchIndex.build(docs.repartition(3))
+    assert greatest.documents.count() == 2 and ids(greatest, q.Term("body", "delta")) == ["1"]
+    assert greatest.postings.where("term = 'alpha'").count() == 1
+    more = last.add(docs.where("doc_id = '2'").union(docs.where("doc_id = '1'")), "seq")
+    assert more.documents.count() == 2 and ids(more, q.Term("body", "beta")) == []
+    asked = spark.createDataFrame([("1",), ("3",), ("1",)], "doc_id string")
+    assert sorted((r.doc_id, r.present) for r in last.present(asked).collect()) == [("1", True), ("3", False)]
+
+
+def test_all_ranks(spark, index):
+    from sparrowtext.operators.search import top
+
+    scored = spark.range(2000).select(F.col("id").cast("string").alias("doc_id"), (F.col("id") % 7).cast("double").alias("score")).repartition(5)
+    got = sorted(top(scored).collect(), key=lambda r: r["rank"])
+    want = sorted(((i % 7, str(i)) for i in range(2000)), key=lambda x: (-x[0], x[1]))
+    assert [(r.score, r.doc_id) for r in got] == want and [r["rank"] for r in got] == list(range(1, 2001)) and {r.total for r in got} == {2000}
+    assert top(scored.limit(0)).collect() == []
+    assert se.count(index, q.Term("body", "zebra")).first().total == 0 and se.count(index, q.MatchAll()).first().total == 3
+
+
+def test_literal_beginnings(index):
+    from sparrowtext.plans.compile import _literal
+
+    assert [_literal(x) for x in (q.Wildcard("b", "Pro*m"), q.Wildcard("b", "*x"), q.Regexp("b", "prog.*"), q.Regexp("b", "go"), q.Regexp("b", "go*d"), q.Regexp("b", "a|b"), q.Fuzzy("b", "go", 1))] == ["pro", "", "pro", "go", "g", "", ""]
+    both = q.Bool().add(q.Term("body", "rust")).add(q.Wildcard("body", "g?")).add(q.Regexp("body", "goo.*")).add(q.Fuzzy("body", "saftey", 2))
+    assert ids(index, both) == ["1", "2", "3"]
+
+
+def test_versions_survive(spark, tmp_path):
+    from sparrowtext.streaming.maintain import Maintainer, empty_index
+
+    changes = lambda *rows: spark.createDataFrame([(op, i, {"body": t}, k) for k, (op, i, t) in enumerate(rows)], "op string, doc_id string, fields map<string,string>, seq int")
+    one = changes(("add", "a", "first words"), ("add", "b", "second words"))
+    keeper = Maintainer(empty_index(one), path=f"{tmp_path}/versions")
+    keeper.merge(one, 0)
+    keeper.merge(changes(("delete", "a", ""), ("add", "c", "third")), 1)
+    again = Maintainer(empty_index(one), path=f"{tmp_path}/versions")
+    assert ids(again.index, q.MatchAll()) == ["b", "c"]
+    again.merge(changes(("delete", "a", ""), ("add", "c", "third")), 1)
+    assert ids(again.index, q.MatchAll()) == ["b", "c"] and ids(again.before(1), q.MatchAll()) == ["a", "b"]
