@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,22 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut, shared_folder
 from ._text import mix
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparrowtext-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder, without the plan that made them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["Filter", "Packer", "bloom", "buckets", "by_bucket", "cut", "estimate", "mapper", "packed_schema", "partitions", "shared_folder", "unpack"]
 
 
 def partitions(spark: SparkSession) -> int:

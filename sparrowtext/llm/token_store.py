@@ -17,7 +17,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, shared_dir
+from ..sources.storage import qualified
+from ._spark import cut, shared_folder
 from ._text import chunks
 from .bpe import VOCABULARY, _path, built, list_array, read_ranks
 
@@ -119,6 +120,4 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, columns: It
 
 def op7_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = _path(VOCABULARY)) -> DataFrame:
     """Where the tokens of each document are stored, below the shared folder."""
-    base = shared_dir(spark)
-    path = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/tokens-{uuid.uuid4().hex}"
-    return write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, path)
+    return write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, qualified(spark, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"))
