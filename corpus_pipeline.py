@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrowtext.llm import bpe, decontaminate, jaccard, line_dedup, quality_crf
-from sparrowtext.llm._spark import shared_dir
+from sparrowtext.llm._spark import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; the results in between are written to the shared folder."""
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
