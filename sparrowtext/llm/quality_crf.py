@@ -1,8 +1,14 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line that isn't blank gets features of its characters and words, and those of the lines before and after
-it.  The field labels lines good or bad; it is fitted to documents whose quality is known, each line taking
-the label of its document.  Forward-backward marginals of the lines, weighted by length, are the document's quality.
+it.  The field labels lines good or bad.  Forward-backward marginals of the lines, weighted by length, are the document's quality.
+
+Labels are known of documents only, so those of lines are latent.  The field is fitted by expectation maximisation
+with the label of the document as evidence on its quality: the expected labels of
+a document's lines are those of the field, all lines tilted alike as far as needed for an expected share of good lines, by length, of
+at least GOOD_SHARE in a good document, and of two standard deviations below BAD_SHARE in a bad one: a document of one line passes its
+label on, one of many lines may be bad with many good lines.  So a clean line may stay good in a bad document, and the
+transitions are learned from the labels that lines come to have.
 
 All sequences of a chunk move through the chain together, one line per step.
 """
@@ -14,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import mapper
@@ -22,6 +28,8 @@ from ._text import Segments, Words, chunks, flat, mix, runs
 
 TRAIN_DOCS = 4000  # labelled documents that the field is fitted to, at most
 KEEP = 0.5  # least quality of a document that is kept
+GOOD_SHARE, BAD_SHARE = 0.9, 0.5
+PIECE = 512  # lines of a labelled document that the field is fitted to as one sequence; longer ones are cut into such pieces
 
 _LOWER, _UPPER, _DIGIT, _POINT, _SHOUT, _SYMBOL, _BLANK = range(7)
 _CLASS = np.full(256, _SYMBOL, np.uint8)
@@ -140,20 +148,42 @@ def forward_backward(score: np.ndarray, bound: np.ndarray, transition: np.ndarra
     return p[:, 1] / np.maximum(p.sum(axis=1), 1e-300), pairs, float(np.log(scale).sum() + top.sum())
 
 
-def fit(features: np.ndarray, bound: np.ndarray, labels: np.ndarray, steps: int = 150, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all sequences; labels: 0 or 1 for each line."""
-    n = len(labels)
-    w, tr = np.zeros(features.shape[1]), np.zeros((2, 2))
-    inner = np.ones(n, bool)
-    inner[bound[:-1][np.diff(bound) > 0]] = False
-    k = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (labels[k - 1], labels[k]), 1)
-    theta = np.concatenate([w, tr.ravel()])
+def expected_labels(score: np.ndarray, bound: np.ndarray, transition: np.ndarray, weight: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(P(good) of each line, expected transitions), the scores of each sequence tilted just so far that its label holds.
+
+    weight: of each line, adding up to 1 in a sequence; good: the label of each sequence.
+    """
+    length = np.diff(bound)
+    of = np.repeat(np.arange(len(length)), length)
+    sign = np.where(good, 1.0, -1.0)
+    low, high = np.zeros(len(length)), np.full(len(length), 12.0)
+    tilt = np.zeros(len(length))
+    for _ in range(8):
+        p = forward_backward(score + (sign * tilt)[of], bound, transition)[0]
+        share = np.bincount(of, weights=weight * p, minlength=len(length))
+        spread = np.sqrt(np.bincount(of, weights=weight**2 * p * (1 - p), minlength=len(length)))
+        holds = np.where(good, share >= GOOD_SHARE, share + 2 * spread <= BAD_SHARE)
+        high, low = np.where(holds, tilt, high), np.where(holds, low, tilt)
+        tilt = np.where(holds & (tilt == 0), 0.0, (low + high) / 2)
+    return forward_backward(score + (sign * np.where(high == 0, 0.0, high))[of], bound, transition)[:2]
+
+
+def fit(features: np.ndarray, bound: np.ndarray, size: np.ndarray, good: np.ndarray, rounds: int = 20, steps: int = 5, l2: float = 1e-3) -> Field:
+    """Expectation maximisation: rounds of expected labels, each with some steps of Adam towards their likelihood.
+
+    size: of each line; good: 0 or 1 for each sequence.
+    """
+    length = np.diff(bound)
+    n, of = len(features), np.repeat(np.arange(len(length)), length)
+    weight = size / np.maximum(np.bincount(of, weights=size, minlength=len(length)), 1)[of]
+    theta = np.zeros(features.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
+    for step in range(1, rounds * steps + 1):
         w, tr = theta[:-4], theta[-4:].reshape(2, 2)
-        p, pairs, _ = forward_backward(features @ w, bound, tr)
+        score = features @ w
+        if step % steps == 1:
+            labels, seen = expected_labels(score, bound, tr, weight, good > 0)
+        p, pairs, _ = forward_backward(score, bound, tr)
         g = np.concatenate([features.T @ (labels - p), (seen - pairs).ravel()]) / n - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -163,7 +193,7 @@ def fit(features: np.ndarray, bound: np.ndarray, labels: np.ndarray, steps: int
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
     """The field, fitted to at most `train_docs` labelled documents, those of the least hashes of doc_id.
 
-    A doc_id with several labels has the lowest.  None if the sample lacks good or bad lines.
+    A doc_id with several labels has the lowest.  None if the sample lacks good or bad documents with lines.
     """
     sample = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -178,19 +208,24 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> F
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(batch.column(1)):
             lines = LineFeatures(batch.column(1)[a:b])
-            packed = [lines.all[lines.bound[i] : lines.bound[i + 1]].tobytes() for i in range(b - a)]
+            wide = np.concatenate([lines.all, lines.size[:, None].astype(np.float32)], axis=1)
+            packed = [wide[lines.bound[i] : lines.bound[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(packed, pa.binary())], names=["doc_id", "quality", "lines"])
 
     # the sample is bounded by train_docs, so that it may be broadcast at any size of the tables
     some = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").mapInArrow(mapper(of), "doc_id bigint, quality int, lines binary").collect()
     some.sort(key=lambda r: (r.doc_id, bytes(r.lines)))
-    width = 3 * OWN + 3
-    x = [np.frombuffer(r.lines, np.float32).reshape(-1, width) for r in some]
-    n = [len(a) for a in x]
-    y = np.repeat([r.quality for r in some], n).astype(np.int64)
-    if len(np.unique(y)) < 2:
+    width = 3 * OWN + 4
+    pieces, good = [], []
+    for r in some:
+        x = np.frombuffer(r.lines, np.float32).reshape(-1, width)
+        for at in range(0, len(x), PIECE):
+            pieces.append(x[at : at + PIECE])
+            good.append(r.quality)
+    if len(set(good)) < 2:
         return None
-    return fit(np.concatenate(x), np.concatenate([[0], np.cumsum(n)]), y)
+    every = np.concatenate(pieces)
+    return fit(every[:, :-1], np.concatenate([[0], np.cumsum([len(x) for x in pieces])]), every[:, -1].astype(np.float64), np.array(good, np.int64))
 
 
 def scored(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -225,9 +260,14 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, train
     """The rows of scored() whose quality is at least `keep`; the others, texts without lines among them, are rejected.
 
     Labels of documents that aren't there, null labels and labels other than 0 and 1 are passed over; with none
-    left, or none of one kind, every text that has lines is kept.  Repeated rows are judged alike.
+    left, or none of one kind, every text that has lines is kept.  Repeated rows are judged alike.  doc_id is an integer, or a string
+    of one, in documents and labels; any other string is an error of the cast.
     """
-    return scored(docs, train(docs, labels, train_docs)).where((F.col("n_lines") > 0) & (F.col("quality") >= keep))
+    return scored(docs, train(docs, labels, train_docs)).where(_good(keep))
+
+
+def _good(keep: float) -> Column:
+    return (F.col("n_lines") > 0) & (F.col("quality") >= keep)
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,7 +278,7 @@ def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with their quality and that of their lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = good_documents(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return kept.select("doc_id", "quality", "n_lines", "n_bad", "line_good")
+    """(doc_id, kept, quality, n_lines, n_bad, line_good) of every document of the table; kept tells whether it is good enough."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    every = scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return every.select("doc_id", _good(KEEP).alias("kept"), "quality", "n_lines", "n_bad", "line_good")

@@ -69,6 +69,60 @@ def test_quality(spark):
     assert np.allclose(a.emission, b.emission)
 
 
+def mixed(rnd, clean):
+    """Lines in stretches, of which a share `clean` is clean, and the label of each."""
+    out, labels = [], []
+    while len(out) < 12:
+        good = rnd.random() < clean
+        for _ in range(rnd.randint(2, 4)):
+            s = sentence(rnd)
+            out.append(s if good else rnd.choice((s.upper().replace(" ", "!! "), s.replace(" ", "%%% "), " ".join([s.split()[0]] * 20))))
+            labels.append(good)
+    return "\n".join(out), labels
+
+
+def test_line_labels(spark):
+    """Lines of mixed documents: the labels of documents are all that the field is given."""
+    rnd = random.Random(8)
+    made = {i: mixed(rnd, 1.0 if i % 2 else 0.35) for i in range(500)}
+    label = {i: int(np.mean([len(x) * g for x, g in zip(t.split("\n"), y, strict=True)]) / np.mean([len(x) for x in t.split("\n")]) > 0.5) for i, (t, y) in made.items()}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in made.items()], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, label[i]) for i in range(300)], "doc_id bigint, quality int")
+    field = crf.train(df, labels)
+    right = two = clean = every = 0
+    for r in crf.scored(df, field).collect():
+        text, y = made[r.doc_id]
+        size = [len(x.replace(" ", "")) for x in text.split("\n")]
+        assert r.quality == pytest.approx(sum(n * g for n, g in zip(size, r.line_good, strict=True)) / sum(size), abs=1e-5)
+        if r.doc_id >= 300:
+            right += sum((g > 0.5) == v for g, v in zip(r.line_good, y, strict=True))
+            two += len(y)
+            clean += sum(g > 0.5 for g, v in zip(r.line_good, y, strict=True) if v and not label[r.doc_id])
+            every += sum(y) * (not label[r.doc_id])
+    # a field that gave every line the label of its document would have 0.84 of all lines and none of the clean ones in bad documents
+    assert right >= 0.88 * two and clean >= 0.25 * every > 70
+    # lines go on as those before them, and change of label isn't ruled out
+    gain = field.transition[0, 0] + field.transition[1, 1] - field.transition[0, 1] - field.transition[1, 0]
+    assert 0 < gain < 6
+
+
+def test_expected_labels():
+    """Against enumeration: the tilted marginals meet the label, and aren't tilted where they meet it anyway."""
+    rng = np.random.default_rng(4)
+    bound = np.array([0, 5, 9, 10, 16])
+    score, tr = rng.normal(size=16), np.array([[0.7, -0.4], [-0.6, 0.9]])
+    length = np.diff(bound)
+    weight = rng.random(16) + 0.1
+    weight /= np.repeat(np.add.reduceat(weight, bound[:-1]), length)
+    score[:5] += 8
+    good = np.array([True, False, False, True])
+    p, _ = crf.expected_labels(score, bound, tr, weight, good)
+    share = np.add.reduceat(weight * p, bound[:-1])
+    below = share + 2 * np.sqrt(np.add.reduceat(weight**2 * p * (1 - p), bound[:-1]))
+    assert share[0] > 0.9 and np.allclose(p[:5], crf.forward_backward(score, bound, tr)[0][:5])
+    assert (below[1:3] <= crf.BAD_SHARE + 1e-9).all() and share[3] >= crf.GOOD_SHARE - 1e-9 and below[1] > crf.BAD_SHARE - 0.05 and share[3] < crf.GOOD_SHARE + 0.05
+
+
 def test_line_features():
     import pyarrow as pa
 
@@ -97,6 +151,52 @@ def test_label_model():
     assert np.abs(model.accuracy(votes, np.ones(n)) - true).max() < 0.03
 
 
+def test_tree_posterior():
+    """The posterior of the tree against the joint distribution, written out."""
+    rng = np.random.default_rng(2)
+    m = 4
+    parent = [-1, 0, 0, 2]
+    table = [rng.dirichlet(np.ones(3), size=(2, 3)) for _ in range(m)]
+    model = tox.LabelModel(0.3, parent, table)
+    votes = np.array(list(product(range(3), repeat=m)))
+    joint = np.zeros((2, len(votes)))
+    for c in (0, 1):
+        for i, v in enumerate(votes):
+            w = 0.3 if c else 0.7
+            for j, p in enumerate(parent):
+                w *= table[j][c, v[p] if p >= 0 else 0, v[j]]
+            joint[c, i] = w
+    assert np.isclose(joint.sum(), 1) and np.allclose(model.posterior(votes), joint[1] / joint.sum(axis=0))
+
+
+def test_few_labels(spark):
+    """Six toxic documents of a language are enough for a beginning that all of them use; chance is not."""
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for i in range(300):
+        lang = "xx" if i % 2 else "yy"
+        w = [rnd.choice(VOICES) + rnd.choice(VOICES) for _ in range(60)]
+        if i % 6 == 1:
+            for _ in range(4):
+                w.insert(rnd.randrange(len(w)), "krazz" + rnd.choice(VOICES))
+        rows.append((i, " ".join(w), lang))
+        if i < 72:
+            labels.append((i, int(i % 6 == 1) if i % 2 else int(rnd.random() < 0.15)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    assert set(tox.induce(df, labels)) == {"kraz", "krazz"}
+    got = {r.doc_id for r in tox.toxic_documents(df, labels).collect()}
+    assert len([i for i in got if i % 6 == 1]) >= 48 and len([i for i in got if i % 6 != 1]) <= 2
+
+
+def test_chance():
+    from math import comb
+
+    for t, c, nt, nc in ((3, 0, 4, 40), (6, 1, 6, 40), (2, 2, 5, 9), (0, 3, 5, 9), (5, 9, 5, 9)):
+        want = sum(comb(nt, k) * comb(nc, t + c - k) for k in range(t, min(nt, t + c) + 1)) / comb(nt + nc, t + c)
+        assert tox.chance(t, c, nt, nc) == pytest.approx(want)
+
+
 def test_toxicity(spark):
     rnd = random.Random(3)
 
