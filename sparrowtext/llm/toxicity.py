@@ -1,6 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Lexicons: fixed lists of insults, and word beginnings induced from a bounded sample of labelled documents.
+1. Lexicons: fixed lists of insults, and word beginnings induced from labelled documents, a bounded sample of each language.  What
+   evidence a beginning needs follows from the number of labels that its language has.
 2. Voters: each lexicon, and patterns over all their hits (density, variety, repetition, shouting), vote toxic, clean or
    neither on every document.
 3. Label model: the counts of all vote vectors over the whole corpus are explained by a hidden class.  Expectation
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 from ._spark import cut, mapper
 from ._text import _BYTE, Segments, Words, chunks, flat, lowered, member, mix, runs
 
-INDUCE_DOCS = 6000  # labelled documents from which word beginnings are induced, at most
+INDUCE_DOCS = 2000  # labelled documents of each language and label from which word beginnings are induced, at most
 TRAIN_DOCS = 4000  # documents of either posterior label that the classifier is fitted to, at most
 THRESHOLD = 0.5
 DIMS = 1 << 16
 BEGINNINGS = (4, 5)  # characters
-LEAST_Z = 8.0
+CHANCE = 0.05  # beginnings of a language that may be taken by chance, in expectation
 RATE = 0.004  # share of a document's words from which a lexicon votes toxic
 
 LEXICONS = (
@@ -223,23 +225,48 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
+def chance(t: int, c: int, nt: int, nc: int) -> float:
+    """How likely t or more of t + c documents, drawn from nt toxic and nc other ones, are toxic."""
+
+    def log_choose(n: int, k: int) -> float:
+        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+    n = t + c
+    return min(1.0, sum(exp(log_choose(nt, k) + log_choose(nc, n - k) - log_choose(nt + nc, n)) for k in range(max(t, n - nc), min(nt, n) + 1)))
+
+
+def level_of(margins: dict[int, int], nt: int, nc: int) -> float:
+    """The chance up to which a beginning is taken; margins: how many beginnings count in n documents, for each n.
+
+    Beginnings of so few documents that not even all of them being toxic would do aren't counted as tried.
+    """
+    least = sorted((chance(min(n, nt), n - min(n, nt), nt, nc), k) for n, k in margins.items())
+    tried = 1
+    while sum(k for p, k in least if p <= CHANCE / tried) > tried:
+        tried = max(tried + 1, int(tried * 1.02))
+    return CHANCE / tried
+
+
 def induce(docs: DataFrame, labels: DataFrame, induce_docs: int = INDUCE_DOCS) -> list[str]:
     """Word beginnings that mark toxic documents of some language, best first.
 
-    They come from at most `induce_docs` labelled documents, those of the least hashes of doc_id.  A beginning counts in a
-    document if it makes up a share RATE of the words; it is taken if it counts in 3 toxic documents of the language at
-    least, 4 times as often, by share, as in those that are not, and the difference is LEAST_Z standard errors.
+    They come from at most `induce_docs` labelled documents of each language and label, those of the least hashes of doc_id.  A
+    beginning counts in a document if it makes up a share RATE of the words; it is taken if it counts in toxic documents 4 times as
+    often, by share, as in those that are not, and that would be chance in fewer than CHANCE of all beginnings of
+    the language that could pass: with hundreds of labels a tenth of the toxic documents is enough, with five nearly all must have it, and with three
+    none is taken, so that the fixed lists alone vote in such a language.
     """
-    sample = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1)")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(induce_docs)
     )
     language = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), language.alias("lang")).where("text is not null")
+    # only ids and languages are joined and ranked; partitions keep their first ones before they are exchanged
+    order = F.expr("row_number() over (partition by lang, toxic order by xxhash64(doc_id), doc_id)")
+    sample = rows.select("doc_id", "lang").distinct().join(known, "doc_id").withColumn("_n", order).where(F.col("_n") <= induce_docs).select("doc_id", "lang", "toxic")
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple[str, int, str]] = []
@@ -261,15 +288,21 @@ def induce(docs: DataFrame, labels: DataFrame, induce_docs: int = INDUCE_DOCS) -
         cols = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["lang", "toxic", "term"])
 
-    # the sample is bounded by induce_docs, so that it may be broadcast at any size of the tables
-    seen = rows.join(F.broadcast(sample), "doc_id").select("text", "lang", "toxic").mapInArrow(mapper(of), "lang string, toxic int, term string")
+    seen = rows.join(sample, ["doc_id", "lang"]).select("text", "lang", "toxic").mapInArrow(mapper(of), "lang string, toxic int, term string")
     counts = cut(seen.groupBy("lang", "term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     totals = counts.where("term = ''").select("lang", F.col("t").alias("nt"), F.col("c").alias("nc"))
-    share = (F.col("t") + F.col("c")) / (F.col("nt") + F.col("nc"))
-    z = (F.col("t") / F.col("nt") - F.col("c") / F.col("nc")) / F.sqrt(share * (1 - share) * (1 / F.col("nt") + 1 / F.col("nc")))
-    found = counts.where("term <> '' and t >= 3").join(totals, "lang").where("nt > 0 and nc > 0 and t / nt >= 4 * c / nc").withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    best = found.groupBy("term").agg(F.max("z").alias("z")).collect()
-    return [r.term for r in sorted(best, key=lambda r: (-r.z, r.term))]
+    margins: dict[str, dict[int, int]] = {}
+    for r in counts.where("term <> ''").groupBy("lang", (F.col("t") + F.col("c")).alias("n")).count().collect():  # of a bounded sample, as below
+        margins.setdefault(r.lang, {})[r.n] = r["count"]
+    total = {r.lang: (r.nt, r.nc) for r in totals.where("nt > 0 and nc > 0").collect()}
+    level = {lang: level_of(margins.get(lang, {}), *both) for lang, both in total.items()}
+    likely = counts.where("term <> '' and t >= 2").join(totals, "lang").where("nt > 0 and nc > 0 and t / nt >= 4 * c / nc")
+    best: dict[str, float] = {}
+    for r in likely.collect():
+        p = chance(r.t, r.c, r.nt, r.nc)
+        if p <= level[r.lang]:
+            best[r.term] = min(p, best.get(r.term, 1.0))
+    return sorted(best, key=lambda w: (best[w], w))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, induce_docs: int = INDUCE_DOCS, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -277,7 +310,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     probability: of the classifier, at least `threshold`; posterior: of the label model, for the votes on the document.
     Rows without doc_id or text are passed over; an empty text gets the votes of no hits.  A repeated row is
-    judged again, alike.  Without labels the fixed lexicons alone vote; if no document, or every one, is called
+    judged again, alike; long texts are judged whole.  doc_id is an integer, or a string of one; any other string is an error of the cast.
+    Without labels the fixed lexicons alone vote; if no document, or every one, is called
     toxic by the label model, its posterior is the probability.  Columns beyond doc_id, text and lang are not read.
     """
     spark = docs.sparkSession
