@@ -128,7 +128,7 @@ def decoded(clips: DataFrame, keep: tuple[str, ...], rate_in: int = RATE_IN, rat
 
     A null clip has null pcm and n_samples, as has a clip of a codec other than mulaw, alaw and ima_adpcm; an empty clip has
     empty pcm.  A broken last ADPCM block gives the samples it has; a step index beyond 88 counts as 88.  Rows keep
-    their number and may repeat.  Columns beyond `keep`, codec and audio are not read.
+    their number and may repeat.  A clip of 2 GiB of PCM or more, which no row can hold, is an error.  Columns beyond `keep`, codec and audio are not read.
     """
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -147,20 +147,23 @@ def decoded(clips: DataFrame, keep: tuple[str, ...], rate_in: int = RATE_IN, rat
             samples[ranges(start[own], count[own])] = decode_adpcm(data[ranges(off[own], n[own])], np.concatenate([[0], np.cumsum(n[own])]), block)
             pcm, size = resample(samples, count, rate_in, rate_out)
             none = np.asarray(audio[a:b].is_null()) | (kind == "")
-            ends = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(2 * size)])
+            if ends[-1] >= 1 << 31:
+                raise ValueError("a clip of 2 GiB of PCM or more doesn't fit into a row: cut it first")
+            ends = ends.astype(np.int32)
             valid = pa.py_buffer(np.packbits(~none, bitorder="little").tobytes())
             binary = pa.Array.from_buffers(pa.binary(), b - a, [valid, pa.py_buffer(ends), pa.py_buffer(pcm.astype("<i2", copy=False))])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i)[a:b] for i in range(len(keep))), codec[a:b], pa.array(np.full(b - a, rate_out, np.int32)), pa.array(size.astype(np.int64), mask=none), binary], names=[*keep, "codec", "rate", "n_samples", "pcm"]
             )
 
-    rows = clips.select(*keep, F.col("codec").cast("string").alias("_codec"), F.col("audio").cast("binary").alias("_audio"))
+    rows = clips.select(*[F.col(f"`{c}`") for c in keep], F.col("codec").cast("string").alias("_codec"), F.col("audio").cast("binary").alias("_audio"))
     schema = ", ".join(f"`{c}` {clips.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(mapper(of), f"{schema}, codec string, rate int, n_samples bigint, pcm binary")
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There is no table of audio: the bytes of every document serve as one clip, coded in turn by each codec."""
+    """There is no table of audio: the bytes of every document serve as one clip.  Each clip has one codec, by its doc_id modulo 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     codec = F.element_at(F.array(*[F.lit(c) for c in (MULAW, ALAW, ADPCM)]), (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)) + 1).cast("int"))
     return decoded(docs.select("doc_id", codec.alias("codec"), F.col("text").cast("binary").alias("audio")), ("doc_id",))

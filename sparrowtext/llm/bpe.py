@@ -407,7 +407,7 @@ def encoded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",
                 [*(batch.column(i)[a:b] for i in range(len(keep))), pa.array(counts, mask=none), lists, trips], names=[*keep, "n_tokens", "ids", "round_trip"]
             )
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text_to_encode"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text_to_encode"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(mapper(of), f"{schema}, n_tokens int, ids array<int>, round_trip boolean")
 
@@ -430,8 +430,9 @@ def decoded(rows: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(text, pa.string())], names=[*keep, "text"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "ids").mapInArrow(mapper(of), f"{schema}, text string")
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "ids").mapInArrow(mapper(of), f"{schema}, text string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = _path(VOCABULARY)) -> DataFrame:
+    """The token ids of every document of the table, and whether they decode to its text; see encoded()."""
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import bloom, by_bucket, cut, estimate, packed_schema, partitions, unpack
+from ._spark import bloom, by_bucket, cut, packed_schema, partitions, unpack
 from ._text import HASH, Segments, Words, chunks, flat, member, mix, ngram_sets, ngrams, ranges, runs
 
 N = 2
@@ -46,7 +46,7 @@ VERY_FREQUENT = 0.02  # share of all documents from which triples are used
 LEAST_FREQUENT = 8  # documents
 MOST_FREQUENT = 1_000_000  # tokens in the broadcast table, 16 MB
 BROADCAST_ROWS = 1_000_000  # of (set, tile), 40 MB; beyond that the sets are shuffled to their tiles in two steps
-COUNTED = 3_000_000  # values that a partition counts between two folds; it keeps twice as many at most, but for those seen again
+COUNTED = 2_000_000  # values that a partition counts between two folds; it keeps twice as many at most, but for those seen again
 TILE_SETS = 1024  # candidates of a set from which its tiles are split into blocks
 TILE_BYTES = 16 << 20  # of sketches, sets and pairs that are in work at once, where a tile isn't larger
 PART_BYTES = 96 << 20  # of signatures or sets in one partition
@@ -199,9 +199,7 @@ def _statistics(docs: DataFrame, n: int, frequent: float, frequent_word: float)
             yield rows(kind, value, count)
         yield rows(3, np.zeros(1, np.int64), np.array([words.total]))
 
-    # the fewer partitions, the rarer the tokens that one of them finds frequent
-    parts = _parts(docs, (estimate(docs) or 0))
-    return _texts(docs).coalesce(parts).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, other bigint, sketch binary")
+    return _texts(docs).mapInArrow(of, "kind int, a bigint, b bigint, size bigint, other bigint, sketch binary")
 
 
 def level(size: int) -> int:

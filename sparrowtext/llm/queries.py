@@ -93,9 +93,11 @@ UNION ALL SELECT doc_id, text, 0 FROM documents WHERE doc_id IS NULL OR text IS
     "op10_decontaminate": f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
-ig AS (SELECT DISTINCT item_id, len(w) - 3 AS win, w[i:i+3] AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 4)),
+ig AS (SELECT DISTINCT item_id, len(w) - 3 AS win, w[i:i+3] AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 4)
+  UNION SELECT item_id, 1, w FROM iw WHERE len(w) BETWEEN 1 AND 3),
 im AS (SELECT item_id, win, count(*) AS m FROM ig GROUP BY ALL),
-dg AS (SELECT doc_id, i - 1 AS place, w[i:i+3] AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 4)),
+dg AS (SELECT doc_id, i - 1 AS place, w[i:i+3] AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, i - 1, w[i:i+k-1] FROM (SELECT *, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw, (SELECT DISTINCT len(w) AS k FROM iw WHERE len(w) BETWEEN 1 AND 3) WHERE len(w) >= k)),
 hit AS (SELECT doc_id, item_id, place, g FROM dg JOIN ig USING (g)),
 slid AS (
   SELECT r.doc_id, r.item_id, r.place AS r, count(DISTINCT l.g) AS c, min(l.place) AS low

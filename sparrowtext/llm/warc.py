@@ -143,7 +143,10 @@ def record_index(made: DataFrame) -> DataFrame:
 
 
 def fetch(made: DataFrame, record_ids: Iterable[str]) -> DataFrame:
-    """(record_id, page_id, record) of some records; each frame that holds one is decompressed once, and no other."""
+    """(record_id, page_id, record) of some records; each frame that holds one is decompressed once, and no other.
+
+    A record that several rows of `made` hold is given as often; a name that none holds gives no row; no names or an empty table, none at all.
+    """
     wanted = set(record_ids)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,4 +167,5 @@ def fetch(made: DataFrame, record_ids: Iterable[str]) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of pages as bundles; see bundles()."""
     return bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -155,13 +155,15 @@ def test_lines_edges(spark):
 
 
 def brute_windows(docs, items, t, n):
-    grams = lambda w: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
     out = {}
     for d, text in docs:
-        g = grams(words(text))
+        w = words(text)
         for k, item in items:
-            own = grams(words(item))
+            v = words(item)
+            own = grams(v, min(n, len(v))) if v else []
             if own:
+                g = grams(w, min(n, len(v)))
                 need = set(own)
                 best = max((len(need & set(g[i : i + len(own)])) for i in range(len(g))), default=0)
                 if round(best / len(need), 9) >= t:
@@ -173,7 +175,7 @@ def brute_windows(docs, items, t, n):
 def test_windows(spark, broadcast):
     rnd = random.Random(3)
     voc = [f"b{i}" for i in range(25)]
-    items = [(i, " ".join(rnd.choice(voc) for _ in range(rnd.choice((2, 4, 5, 9, 20, 50))))) for i in range(25)]
+    items = [(i, " ".join(rnd.choice(voc) for _ in range(rnd.choice((1, 2, 3, 4, 5, 9, 20, 50))))) for i in range(25)]
     docs = []
     for i in range(80):
         w = [rnd.choice(voc) for _ in range(rnd.choice((0, 3, 30, 120)))]
@@ -189,8 +191,8 @@ def test_windows(spark, broadcast):
 def test_windows_edges(spark):
     item = "alpha beta gamma delta epsilon zeta"
     docs = spark.createDataFrame([(None, item), (1, None), (2, ""), (3, f"x {item} y"), (3, f"x {item} y"), (4, "alpha beta"), (5, "q " * 100_000 + item), (6, "quite clean words in here")], DOCS)
-    docs = docs.withColumn("gram", F.lit(1)).withColumn("item_id", F.lit(2))
-    items = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item), (3, None), (4, "too short"), (5, "")], "item_id bigint, text string").withColumn("doc_id", F.lit(0))
+    docs = docs.withColumn("gram", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("bad", F.lit(3)).withColumn("a.b", F.lit(4))
+    items = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item), (3, None), (4, "no such"), (5, "")], "item_id bigint, text string").withColumn("doc_id", F.lit(0))
     got = sorted((r.doc_id, r.item_id, r.containment, r.word_at) for r in decontaminate.contaminated(docs, items).collect())
     assert got == [(3, 1, 1.0, 1), (3, 2, 1.0, 1), (5, 1, 1.0, 100_000), (5, 2, 1.0, 100_000)]
     assert decontaminate.contaminated(docs.limit(0), items).collect() == [] and decontaminate.contaminated(docs, items.limit(0)).collect() == []
