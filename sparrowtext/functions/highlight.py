@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.query import Bool, Occur, Phrase, Prefix, Query, Term
-from .analysis import STANDARD, Analyzer, lower, py_lower
+from .analysis import STANDARD, Analyzer, lower, py_lower, stem_all
 
 PIECE = r"([\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+)"
 
@@ -44,12 +44,17 @@ class Highlighter:
         if not terms and not prefixes:
             return text
 
-        def mark(piece: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(1))
+        small = F.transform(pieces, lower)
+
+        def mark(piece: Column, of: Column) -> Column:
+            word, stem = of["low"], of["stem"]
             hit = F.lit(False)
             if terms:
-                hit = hit | self.analyzer.stemmed(lower(piece)).isin(sorted(terms))
+                hit = hit | stem.isin(sorted(terms))
             for p in sorted(prefixes):
-                hit = hit | lower(piece).startswith(p)
+                hit = hit | word.startswith(p)
             return F.when(piece.rlike(r"^[\p{L}\p{Nd}]") & hit, F.concat(F.lit(self.before), piece, F.lit(self.after))).otherwise(piece)
 
-        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(1)), mark), "")
+        stems = stem_all(small) if terms and self.analyzer.stemming else small
+        return F.array_join(F.zip_with(pieces, F.arrays_zip(small.alias("low"), stems.alias("stem")), mark), "")
