@@ -24,15 +24,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Packer, bloom, buckets, by_bucket, cut, packed_schema, unpack
-from ._text import Segments, Words, chunks, mix, ranges, runs
+from ._text import Segments, Words, chunks, member, mix, ranges, runs
 
 NEAR = 8
 ALIKE = 0.2  # share of the words of a document, from which lines that begin or end like one other document's make it its look-alike
 SIZES = 0.6  # least ratio of the numbers of words of look-alikes
+HOT = 4  # a half found in more than 1/HOT of a mean bucket is told apart; there are fewer of those than HOT times the buckets
 HELD_LINES = 1_000_000  # lines that are combined before they are sent
 SEEN_LINES = 100_000  # lines whose variants a partition knows that it has sent
 
@@ -286,39 +288,116 @@ def _near(texts: DataFrame, sharing: DataFrame, n: int, near: int) -> DataFrame:
     return cut(by_bucket(packed, n).mapInArrow(meet, _OUT).select("doc_id", "line_no").distinct())
 
 
+def _voters(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, doc, no, words, total) of the halves of each line: its document, number and words, and the words of the document."""
+    ids = batch.column(0).to_numpy()
+    for a, b in chunks(batch.column(1)):
+        lines = Lines(batch.column(1)[a:b])
+        lines.take_units(NEAR)
+        total = np.diff(lines.words.bound)[lines.doc].astype(np.int32)
+        i, key = lines.halves(np.arange(len(lines.n)), 2)
+        k = len(i) - 2 * int((lines.unit_n >= 3).sum())  # those of equally long lines come first
+        i, key = i[:k], key[:k]
+        yield key, ids[a:b][lines.doc[i]], lines.no[i].astype(np.int32), lines.n[i].astype(np.int32), total[i]
+
+
+def _hot_halves(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first document, its words) of the halves that are too frequent for one of n buckets, fewer than HOT * n, sorted.
+
+    A key with a share of all is found with that share in some stretch of HELD_LINES, so only those are counted.
+    """
+    most = HOT * n
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            key = np.sort(held.take()[0])
+            start, count = runs(key)
+            some = count > len(key) / most
+            keys, total = pa.array(key[start[some]].view(np.int64)), pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([keys, total]), pa.array(np.append(count[some], len(key)))], names=["key", "n"])
+
+        for batch in batches:
+            for key, *_ in _voters(batch):
+                if held.add(key):
+                    yield from counted()
+        if held.size:
+            yield from counted()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = hot.value
+        best, size = np.full(len(keys), np.iinfo(np.int64).max), np.zeros(len(keys), np.int32)
+        seen = np.zeros(len(keys), bool)
+        for batch in batches:
+            for key, doc, _, _, total in _voters(batch):
+                at = member(key, keys)
+                at, doc, total = at[at >= 0], doc[at >= 0], total[at >= 0]
+                order = np.lexsort((total, doc, at))
+                order = order[_new(at[order])]
+                at, doc, total = at[order], doc[order], total[order]
+                less = ~seen[at] | (doc < best[at]) | ((doc == best[at]) & (total < size[at]))
+                best[at[less]], size[at[less]], seen[at] = doc[less], total[less], True
+        yield pa.RecordBatch.from_arrays([pa.array(keys[seen].view(np.int64)), pa.array(best[seen]), pa.array(size[seen])], names=["key", "doc", "total"])
+
+    counts = cut(texts.mapInArrow(frequent, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
+    keys = np.sort(counts.where(F.col("key").isNotNull() & (F.col("n") > total / most)).select("key").toArrow().column(0).to_numpy().view(np.uint64))
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    hot = texts.sparkSession.sparkContext.broadcast(keys)
+    found = texts.mapInArrow(first, "key bigint, doc bigint, total int").groupBy("key").agg(F.min(F.struct("doc", "total")).alias("first"))
+    table = found.select("key", "first.doc", "first.total").toArrow()
+    key, doc, size = (table.column(i).to_numpy() for i in range(3))
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], doc[order], size[order]
+
+
 def look_alikes(docs: DataFrame, share: float = ALIKE, sizes: float = SIZES) -> DataFrame:
     """doc_id of the documents that look like near copies of one earlier document as a whole.
 
     A line speaks for the first document with a line of as many units and an equal half.  A document is found if lines
     with `share` of its words speak for one earlier document, and of the numbers of words of both the smaller is at least `sizes` of
-    the larger.  Ids, nulls, repeated rows, long texts, columns and empty tables are as in copies().
+    the larger; of rows that share the id of the first document the shortest counts.  Halves meet in buckets by their hash; those too frequent for
+    one bucket are few, so that their first documents are sent to all lines instead.
+    Ids, nulls, repeated rows, long texts, columns and empty tables are as in copies().
     """
     n = buckets(docs, 2)
-    names = ["key", "doc", "no", "words", "total"]
+    names, votes = ["key", "doc", "no", "words", "total"], ["doc", "no", "words", "total", "source"]
+    texts = _texts(docs)
+    hot = texts.sparkSession.sparkContext.broadcast(_hot_halves(texts, n))
+
+    def speaks(doc: np.ndarray, total: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (doc != first) & (np.minimum(total, size) >= sizes * np.maximum(total, size))
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(n, names)
+        packer = Packer(2 * n, names)
+        keys, first, size = hot.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b in chunks(batch.column(1)):
-                lines = Lines(batch.column(1)[a:b])
-                lines.take_units(NEAR)
-                total = np.diff(lines.words.bound)[lines.doc].astype(np.int32)
-                i, key = lines.halves(np.arange(len(lines.n)), 2)
-                k = len(i) - 2 * int((lines.unit_n >= 3).sum())  # those of equally long lines come first
-                i, key = i[:k], key[:k]
-                yield from packer.add(key % np.uint64(n), key, ids[a:b][lines.doc[i]], lines.no[i].astype(np.int32), lines.n[i].astype(np.int32), total[i])
+            for columns in _voters(batch):
+                at = member(columns[0], keys)
+                key, *rest = (c[at < 0] for c in columns)
+                yield from packer.add(key % np.uint64(n), key, *rest)
+                at, (_, doc, no, words, total) = at[at >= 0], (c[at >= 0] for c in columns)
+                good = speaks(doc, total, first[at], size[at])
+                yield from packer.add(n + doc[good] % n, first[at[good]].view(np.uint64), doc[good], no[good], words[good], total[good])
         yield from packer.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpack(batches, {"key": "u8", "doc": "i8", "no": "i4", "words": "i4", "total": "i4"})
+        held = []
+        for batch in batches:
+            known = batch.filter(pc.greater_equal(batch.column(0), n))  # the first document in place of the key
+            held.append(batch.filter(pc.less(batch.column(0), n)))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([pc.subtract(known.column(0), pa.scalar(n, pa.int32())), *known.columns[2:], known.column(1)], names=["bucket", *votes])
+        got = unpack(iter(held), {"key": "u8", "doc": "i8", "no": "i4", "words": "i4", "total": "i4"})
         key, doc, no, words, total = (got[k] for k in names)
-        order = np.lexsort((doc, key))
+        order = np.lexsort((total, doc, key))
         new = _new(key[order])
         first = order[new][np.cumsum(new) - 1] if len(order) else order
-        good = (doc[order] != doc[first]) & (np.minimum(total[order], total[first]) >= sizes * np.maximum(total[order], total[first]))
+        good = speaks(doc[order], total[order], doc[first], total[first])
         own, first = order[good], first[good]
-        packer = Packer(n, ["doc", "no", "words", "total", "source"])
+        packer = Packer(n, votes)
         yield from packer.add(doc[own] % n, doc[own], no[own], words[own], total[own], doc[first])
         yield from packer.flush()
 
@@ -332,7 +411,7 @@ def look_alikes(docs: DataFrame, share: float = ALIKE, sizes: float = SIZES) ->
         enough = np.add.reduceat(words, start) >= share * total[start] if len(start) else start.astype(bool)
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(doc[start][enough]))], names=["doc_id"])
 
-    met = by_bucket(_texts(docs).mapInArrow(halves, packed_schema(names)), n).mapInArrow(meet, packed_schema(["doc", "no", "words", "total", "source"]))
+    met = by_bucket(texts.mapInArrow(halves, packed_schema(names)), 2 * n).mapInArrow(meet, packed_schema(votes))
     return by_bucket(met, n).mapInArrow(weigh, "doc_id bigint").distinct()
 
 

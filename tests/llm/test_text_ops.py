@@ -232,7 +232,9 @@ def brute_alikes(rows, share=0.2, sizes=0.6):
     return {i for (i, e), n in votes.items() if n >= share * total[i] and min(total[i], total[e]) >= sizes * max(total[i], total[e])}
 
 
-def test_near_copies_stay_whole(spark):
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 20, 10**6])
+def test_near_copies_stay_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rnd = random.Random(9)
     voc = [f"v{i}" for i in range(500)]
     lines = lambda n: [[rnd.choice(voc) for _ in range(rnd.randint(5, 30))] for _ in range(n)]
