@@ -376,9 +376,11 @@ def look_alikes(docs: DataFrame, share: float = ALIKE, sizes: float = SIZES) ->
         for batch in batches:
             for columns in _voters(batch):
                 at = member(columns[0], keys)
-                key, *rest = (c[at < 0] for c in columns)
+                known = at >= 0
+                key, *rest = (c[~known] for c in columns)
                 yield from packer.add(key % np.uint64(n), key, *rest)
-                at, (_, doc, no, words, total) = at[at >= 0], (c[at >= 0] for c in columns)
+                _, doc, no, words, total = (c[known] for c in columns)
+                at = at[known]
                 good = speaks(doc, total, first[at], size[at])
                 yield from packer.add(n + doc[good] % n, first[at[good]].view(np.uint64), doc[good], no[good], words[good], total[good])
         yield from packer.flush()

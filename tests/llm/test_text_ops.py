@@ -232,7 +232,7 @@ def brute_alikes(rows, share=0.2, sizes=0.6):
     return {i for (i, e), n in votes.items() if n >= share * total[i] and min(total[i], total[e]) >= sizes * max(total[i], total[e])}
 
 
-@pytest.mark.parametrize("hot", [line_dedup.HOT, 20, 10**6])
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 100, 10**6])
 def test_near_copies_stay_whole(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     rnd = random.Random(9)
@@ -246,6 +246,8 @@ def test_near_copies_stay_whole(spark, monkeypatch, hot):
     rows += [(300, rows[3][1])]
     df = spark.createDataFrame(rows, DOCS).repartition(4).withColumn("n_chars", F.char_length("text")).withColumn("n_dropped", F.lit("mine")).withColumn("a.b", F.lit(1))
     alike = {r.doc_id for r in line_dedup.look_alikes(df).collect()}
+    if hot == 100:
+        assert 0 < len(line_dedup._hot_halves(line_dedup._texts(df), line_dedup.buckets(df, 2))[0]) < 500
     assert alike == brute_alikes(rows) and {100 + i for i in range(25)} <= alike and alike.isdisjoint(range(200, 300))
     gone, text = brute_lines(rows), dict(rows)
     got = {r.doc_id: r for r in line_dedup.cleaned(df).collect()}
