@@ -20,11 +20,13 @@ from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, mapper
 from ._text import _BYTE, Segments, Words, chunks, flat, lowered, member, mix, runs
+from .jaccard import verified_sets
 
 INDUCE_DOCS = 2000  # labelled documents of each language and label from which word beginnings are induced, at most
 TRAIN_DOCS = 4000  # documents of either posterior label that the classifier is fitted to, at most
@@ -32,6 +34,8 @@ THRESHOLD = 0.5
 DIMS = 1 << 16
 BEGINNINGS = (4, 5)  # characters
 CHANCE = 0.05  # beginnings of a language that may be taken by chance, in expectation
+COPY = 0.4  # similarity of word pairs, as estimated, from which labelled documents are one piece of evidence
+BANDS, BAND = 32, 3  # of least hashes, for that estimate
 RATE = 0.004  # share of a document's words from which a lexicon votes toxic
 
 LEXICONS = (
@@ -247,15 +251,54 @@ def level_of(margins: dict[int, int], nt: int, nc: int) -> float:
     return CHANCE / tried
 
 
+def least_hashes(texts: pa.Array) -> np.ndarray:
+    """[i, k]: the least of the k-th hashes of the word pairs of text i; those of two texts agree in a share that estimates their similarity."""
+    token, bound = verified_sets(texts, 2)
+    out = np.full((len(texts), BANDS * BAND), 0xFFFFFFFF, np.uint32)
+    some = np.flatnonzero(np.diff(bound))
+    if len(some):
+        for k in range(0, BANDS * BAND, 2):
+            h = mix(token ^ mix(np.array([k + 1], np.uint64)))
+            for i, half in enumerate((h >> np.uint64(32), h & np.uint64(0xFFFFFFFF))):
+                out[some, k + i] = np.minimum.reduceat(half, bound[:-1][some])
+    return out
+
+
+def part_of(sketch: np.ndarray) -> np.ndarray:
+    """For each row of least hashes: the first row of its part of near copies.  Rows that agree in a band are compared with the first of them."""
+    low = np.arange(len(sketch))
+    u, v = [], []
+    for b in range(0, sketch.shape[1], BAND):
+        same = np.unique(sketch[:, b : b + BAND], axis=0, return_inverse=True)[1].ravel()
+        first = np.full(len(sketch), len(sketch))
+        np.minimum.at(first, same, low)
+        other = np.flatnonzero(first[same] < low)
+        near = (sketch[other] == sketch[first[same[other]]]).mean(axis=1) >= COPY
+        u.append(first[same[other[near]]])
+        v.append(other[near])
+    u, v = np.concatenate(u), np.concatenate(v)
+    while True:
+        least = np.minimum(low[u], low[v])
+        new = low.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def induce(docs: DataFrame, labels: DataFrame, induce_docs: int = INDUCE_DOCS) -> list[str]:
     """Word beginnings that mark toxic documents of some language, best first.
 
-    They come from at most `induce_docs` labelled documents of each language and label, those of the least hashes of doc_id.  A
+    They come from at most `induce_docs` labelled documents of each language and label, those of the least hashes of doc_id.  Of
+    near copies with one label, only the earliest document counts: all the words of a copied text would pass for marks of it.  A
     beginning counts in a document if it makes up a share RATE of the words; it is taken if it counts in toxic documents 4 times as
     often, by share, as in those that are not, and that would be chance in fewer than CHANCE of all beginnings of
     the language that could pass: with hundreds of labels a tenth of the toxic documents is enough, with five nearly all must have it, and with three
     none is taken, so that the fixed lists alone vote in such a language.
     """
+    spark = docs.sparkSession
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1)")
@@ -269,13 +312,12 @@ def induce(docs: DataFrame, labels: DataFrame, induce_docs: int = INDUCE_DOCS) -
     sample = rows.select("doc_id", "lang").distinct().join(known, "doc_id").withColumn("_n", order).where(F.col("_n") <= induce_docs).select("doc_id", "lang", "toxic")
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[str, int, str]] = []
-        low = lowered(batch.column(0))
+        low = lowered(batch.column(1))
         for a, b in chunks(low):
             words = Words(low[a:b], lower=False)
             raw, off = words.data.tobytes(), words.bound
+            terms: list[list[str]] = []
             for i in range(b - a):
-                lang, toxic = batch.column(1)[a + i].as_py(), batch.column(2)[a + i].as_py()
                 n: Counter[str] = Counter()
                 for s, e in zip(words.start[off[i] : off[i + 1]].tolist(), words.end[off[i] : off[i + 1]].tolist(), strict=True):
                     w = raw[s:e].decode("utf-8", "replace")
@@ -283,12 +325,17 @@ def induce(docs: DataFrame, labels: DataFrame, induce_docs: int = INDUCE_DOCS) -
                         if len(w) >= k:
                             n[w[:k]] += 1
                 least = RATE * (off[i + 1] - off[i])
-                out += [(lang, toxic, w) for w, c in n.items() if c >= least]
-                out.append((lang, toxic, ""))  # the document itself
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["lang", "toxic", "term"])
-
-    seen = rows.join(sample, ["doc_id", "lang"]).select("text", "lang", "toxic").mapInArrow(mapper(of), "lang string, toxic int, term string")
+                terms.append(["", *(w for w, c in n.items() if c >= least)])  # "": the document itself
+            sketch = [x.tobytes() for x in least_hashes(low[a:b])]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(batch.column(c)[a:b] for c in (2, 3)), pa.array(sketch, pa.binary()), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "lang", "toxic", "sketch", "terms"])
+
+    drawn = rows.join(sample, ["doc_id", "lang"]).select("doc_id", "text", "lang", "toxic")
+    drawn = cut(drawn.mapInArrow(mapper(of), "doc_id bigint, lang string, toxic int, sketch binary, terms array<string>").dropDuplicates(["doc_id", "lang", "toxic", "sketch"]))
+    marks = drawn.select("doc_id", "lang", "toxic", F.xxhash64("sketch").alias("mark"), "sketch").orderBy("doc_id", "lang", "mark").toArrow()  # of a bounded sample
+    sketch = np.frombuffer(b"".join(marks["sketch"].to_pylist()), np.uint32).reshape(marks.num_rows, BANDS * BAND)
+    one = np.unique(np.array([*zip(part_of(sketch).tolist(), pc.rank(marks["lang"], tiebreaker="min").to_pylist(), marks["toxic"].to_pylist(), strict=True)], np.int64).reshape(-1, 3), axis=0, return_index=True)[1]
+    kept = spark.createDataFrame(marks.select(["doc_id", "lang", "mark"]).take(pa.array(one)))
+    seen = drawn.withColumn("mark", F.xxhash64("sketch")).join(F.broadcast(kept), ["doc_id", "lang", "mark"]).select("lang", "toxic", F.explode("terms").alias("term"))
     counts = cut(seen.groupBy("lang", "term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     totals = counts.where("term = ''").select("lang", F.col("t").alias("nt"), F.col("c").alias("nc"))
     margins: dict[str, dict[int, int]] = {}

@@ -189,6 +189,28 @@ def test_few_labels(spark):
     assert len([i for i in got if i % 6 == 1]) >= 48 and len([i for i in got if i % 6 != 1]) <= 2
 
 
+def test_copies_are_one_piece_of_evidence(spark):
+    """The words of a toxic text that was copied with small changes are no marks of toxic documents."""
+    rnd = random.Random(21)
+
+    def words(n):
+        return [rnd.choice(VOICES) + rnd.choice(VOICES) for _ in range(n)]
+
+    rows, labels, copied = [], [], ["qualm", "zephyr", "drifts", *words(37)]
+    for i in range(400):
+        w = words(60)
+        if i % 4 == 0:
+            w[10:10] = ["krazz" + rnd.choice(VOICES) for _ in range(3)]
+        if i % 8 == 0:
+            w = [*copied, "krazz", rnd.choice(VOICES)]
+        rows.append((i, " ".join(w), "xx"))
+        labels.append((i, int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = tox.induce(df, labels)
+    assert "kraz" in got and not {"qual", "zeph", "drif"} & set(got)
+
+
 def test_chance():
     from math import comb
 
