@@ -16,7 +16,8 @@ A document is the set of its word n-grams (tokens).  All pairs with Jaccard simi
    Groups grow in number with the set (levels), so that combinations stay proportional to the tokens; a pair
    meets at the level of its smaller set, and a set emits at every level its partners can have.
 3. Equal signatures meet in one partition; sets of equal content count once; size and position bounds are applied.  Each
-   set names its three least signatures, and a pair is left to the least that both name.
+   set names its three least signatures, and a pair is left to the least that both name.  Combinations that many sets share
+   have their pairs collected as bits, so that a pair of a large group isn't met once for each of the combinations it has in common.
 4. Candidates whose parity sketches differ in more places than the sets may are dropped; the token sets of the others
    are verified.  Either is done in tiles: a pair goes to the tile of the least neighbour of both, which the sets of a group mostly have
    in common, so that few tiles need the same set.  A set with many candidates splits its tiles into blocks of both sides, so that
@@ -259,6 +260,8 @@ def signatures(sets: Sets, table: np.ndarray, count: np.ndarray, many: float, t:
     return row, sig, pos
 
 
+WIDE = 64  # sets that share a combination, from which their pairs are collected as bits
+BLOCK_BYTES = 16 << 20  # of these bits at once
 PARTS = 8  # shares in which a partition joins its signatures
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -281,6 +284,58 @@ def rank_of(sig: np.ndarray) -> np.ndarray:
     return (sig >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
 
 
+def wide_pairs(who: np.ndarray, size: np.ndarray, row: np.ndarray, length: np.ndarray, low: np.ndarray, rank: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of `who` that are in some run together and whose sizes fit; the runs have `length` rows each, `rank` each one's signature.
+
+    Near copies share hundreds of combinations, so each pair of a large group would be met as often.  Here a run costs a bit for each pair
+    of its members and the group it belongs to, and each pair leaves once; those that name a signature of another run are left to it.
+    """
+    start = np.cumsum(length) - length
+    ids, first, at = np.unique(who, return_index=True, return_inverse=True)
+    part = np.arange(len(ids))
+    while True:
+        least = np.repeat(np.minimum.reduceat(part[at], start), length)
+        new = part.copy()
+        np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    order = np.lexsort((ids, size[first], part))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    at, ids, part, size, names = place[at], ids[order], part[order], size[first[order]], low[row[first[order]]]
+    rank = np.unique(rank)
+    begin, count = runs(part)
+    of = np.searchsorted(begin, at[start], "right") - 1
+    by = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[by], np.arange(len(begin) + 1))
+    for p, (b, m) in enumerate(zip(begin.tolist(), count.tolist(), strict=True)):
+        block = max(1, 8 * BLOCK_BYTES // m)
+        for lo in range(0, m, block):
+            bits = np.zeros((min(block, m - lo), -(-m // 8)), np.uint8)
+            for r in by[edge[p] : edge[p + 1]].tolist():
+                some = at[start[r] : start[r] + length[r]] - b
+                mask = np.zeros(m, bool)
+                mask[some] = True
+                bits[some[(some >= lo) & (some < lo + len(bits))] - lo] |= np.packbits(mask)
+            step = max(1, 500_000 // m)
+            for i in range(0, len(bits), step):
+                x, y = np.nonzero(np.unpackbits(bits[i : i + step], axis=1, count=m))
+                x += lo + i
+                x, y = b + x[x < y], b + y[x < y]
+                fits = size[x] >= np.round(t * size[y], 9)
+                x, y = x[fits], y[fits]
+                need = _ceil(t / (1 + t) * (size[x] + size[y]))
+                common = np.full(len(x), NONE)
+                for k in range(3):
+                    for j in range(3):
+                        common = np.where(names[x, k] == names[y, j], np.minimum(common, names[x, k]), common)
+                elsewhere = (common != NONE) & (7 * size[x] >= 8 * need) & (7 * size[y] >= 8 * need)
+                elsewhere[elsewhere] = member(common[elsewhere].astype(np.uint64), rank) < 0
+                yield ids[x[~elsewhere]], ids[y[~elsewhere]]
+
+
 class _Sender:
     """Packs signatures by bucket, with the data of a set once for each bucket that it has signatures in."""
 
@@ -349,8 +404,18 @@ def _candidates(docs: DataFrame, n: int, t: float, table: np.ndarray, count: np.
         sig, who, size, pos, head = (x[order] for x in (sig, who, size, pos, head))
         rank = rank_of(sig)
         start, length = runs(sig)
+        found, held = [np.zeros(0, np.uint64)], 0
+        wide = length >= WIDE
+        if wide.any():
+            wide &= np.maximum.reduceat(pos, start) < 0
+            rows = np.repeat(wide, length)
+            for x, y in wide_pairs(who[rows], size[rows], head[rows], length[wide], low, rank[start[wide]], t):
+                x, y = x.astype(np.uint64), y.astype(np.uint64)
+                found.append((np.minimum(x, y) << np.uint64(32)) | np.maximum(x, y))
+            sig, who, size, pos, head, rank = (x[~rows] for x in (sig, who, size, pos, head, rank))
+            start, length = runs(sig)
         last = np.repeat(start + length, length) - 1
-        found, held, active, d = [np.zeros(0, np.uint64)], 0, np.arange(len(sig)), 1
+        active, d = np.arange(len(sig)), 1
         while len(active):
             active = active[active + d <= last[active]]
             other = active + d

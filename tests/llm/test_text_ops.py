@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,28 @@ def test_pairs(spark, vocabulary, n, t):
     want = brute_pairs(rows, t, n)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
 
+def test_wide_pairs():
+    """Pairs of runs of many sets, against all pairs of each run; what another run is sure to find is left to it."""
+    rnd = np.random.default_rng(4)
+    n = 400
+    size = rnd.integers(20, 60, n)
+    size[:100] = 30
+    runs_of = [rnd.choice(200, 90, replace=False) + 200 * (k % 2) for k in range(40)]
+    who, length = np.concatenate(runs_of), np.full(40, 90)
+    rank, low = np.arange(40, dtype=np.uint64) + np.uint64(5), np.full((n, 3), jaccard.NONE)
+    want = {(min(a, b), max(a, b)) for run in runs_of for a in run.tolist() for b in run.tolist() if a != b and min(size[a], size[b]) >= 0.6 * max(size[a], size[b])}
+
+    def found():
+        met = [(min(a, b), max(a, b)) for x, y in jaccard.wide_pairs(who, size[who], who, length, low, rank, 0.6) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(met) == len(set(met))  # once, however many runs share a pair
+        return set(met)
+
+    assert found() == want
+    low[:100, 0] = 7  # the signature of a run here
+    assert found() == want
+    low[:100, 0] = 1000  # of one elsewhere
+    assert found() == {(a, b) for a, b in want if b >= 100}
+
 
 def test_pairs_edges(spark):
     long = " ".join(f"x{i}" for i in range(150_000))
