@@ -59,6 +59,8 @@ STEPS = (
 )
 
 _PY_STEPS = tuple((re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", by)) for pattern, by in STEPS)
+#: a word that ends otherwise, or for None one without the mark, isn't changed by the step
+_PY_ENDS = ("s", "eed", ("ed", "ing"), _M, _M, _M, tuple(_SUFFIXES), None, None, None, "e")
 
 
 def lower(text: Column) -> Column:
@@ -87,6 +89,18 @@ def _stems(words: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stems, mask=words.is_null())
 
 
+def _terms(text: pa.Array, stops: frozenset[str]) -> pa.Array:
+    """The stems of the words of texts that aren't stop words: each distinct word of the batch once."""
+    words = pc.split_pattern_regex(pc.utf8_lower(text.cast(pa.string())), r"[^\p{L}\p{Nd}]+")  # empty at an edge that is no word
+    flat = words.flatten().dictionary_encode()
+    stems = [py_stem(w) if w and w not in stops else None for w in flat.dictionary.to_pylist()]
+    codes = flat.indices.to_numpy()
+    kept = np.array([s is not None for s in stems], bool)[codes]
+    ends = np.cumsum(np.append(0, pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)))
+    ends = np.append(0, np.cumsum(kept))[ends]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(stems, pa.string()).take(pa.array(codes[kept])), mask=text.is_null())
+
+
 def stem_all(words: Column) -> Column:
     """The stems of an array of lower-cased words.
 
@@ -104,8 +118,9 @@ def py_lower(s: str) -> str:
 def py_stem(word: str) -> str:
     if len(word.encode()) <= 3:
         return word
-    for pattern, by in _PY_STEPS:
-        word = pattern.sub(by, word, count=1)
+    for (pattern, by), ends in zip(_PY_STEPS, _PY_ENDS, strict=True):
+        if word.endswith(ends) if ends else _M in word:
+            word = pattern.sub(by, word, count=1)
     return word
 
 
@@ -145,8 +160,14 @@ class Analyzer:
 
     def terms(self, text: Column) -> Column:
         """Array of terms; a term's index is its position."""
-        words = self.words(text)
-        return stem_all(words) if self.stemming else words
+        if not self.stemming:
+            return self.words(text)
+        stops = self.stop_words
+
+        def terms(text: pa.Array) -> pa.Array:
+            return _terms(text, stops)
+
+        return F.arrow_udf(terms, "array<string>")(text)
 
     def analyze(self, text: Column) -> Column:
         """Array of (term, pos)."""

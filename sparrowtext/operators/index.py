@@ -6,9 +6,14 @@ terms(field, term, df, ttf, n_chars) and fields(field).  A field stays listed on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +23,10 @@ from ..functions.analysis import STANDARD, Analyzer
 from ..sources.storage import cut, new_folder
 
 TABLES = ("documents", "forward", "postings", "terms", "fields")
+RUN_TERMS = 1 << 21  # terms of the texts whose postings are sorted together
+RUN_ROWS = 1 << 16  # postings handed to the JVM at once
+OPEN_FILES = 16  # fields whose files a task writes side by side; a task with more sorts the rest
+_POSTINGS = "field string, term string, doc_id string, tf int, positions array<int>, doc_len int"
 
 
 @dataclass(frozen=True)
@@ -55,21 +64,20 @@ class SearchIndex:
 
     @classmethod
     def _of(cls, analyzer: Analyzer, documents: DataFrame, forward: DataFrame, fields: DataFrame) -> SearchIndex:
-        single = forward.select("field", "doc_id", "doc_len", F.posexplode("terms").alias("pos", "term"))
-        postings = single.groupBy("field", "term", "doc_id").agg(
-            F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("doc_len").alias("doc_len")
-        )
+        # a document's postings come from its own row, so nothing is exchanged
+        postings = forward.select("field", "doc_id", "terms", "doc_len").mapInArrow(_postings, _POSTINGS)
         return cls(analyzer, documents, forward, postings, dictionary(postings), fields)
 
     def save(self, path: str | None = None) -> SearchIndex:
-        """The index as written tables: postings and dictionary by field, ordered by term for pruning."""
+        """The index as written tables, by field: the dictionary ordered by term, and postings in runs of that order, for pruning."""
         spark = self.documents.sparkSession
         path = path or new_folder(spark, "index")
         self.documents.write.parquet(f"{path}/documents")
         self.forward.sortWithinPartitions("field", "doc_id").write.partitionBy("field").parquet(f"{path}/forward")
         forward = _read(spark, path, "forward", self.forward)
         kept = SearchIndex._of(self.analyzer, spark.read.parquet(f"{path}/documents"), forward, self.fields)
-        kept.postings.sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
+        with _side_by_side(spark):  # a sort by field would mix the sorted runs
+            kept.postings.write.partitionBy("field").parquet(f"{path}/postings")
         postings = _read(spark, path, "postings", self.postings)
         dictionary(postings).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/terms")
         self.fields.distinct().write.parquet(f"{path}/fields")
@@ -128,6 +136,62 @@ class SearchIndex:
         return Stats(self.documents.count(), {r.field: float(r.avg_len) for r in rows})
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of rows of the forward table, in runs of about RUN_TERMS terms, each ordered by field, term and doc_id."""
+    held, size = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            held.append(part)
+            size += pc.sum(part["doc_len"]).as_py() or 0
+            if size >= RUN_TERMS:
+                yield from _run(held)
+                held, size = [], 0
+    if held:
+        yield from _run(held)
+
+
+def _run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held)
+    rows = rows.take(pc.sort_indices(rows.select(["field", "doc_id"]), sort_keys=[("field", "ascending"), ("doc_id", "ascending")])).combine_chunks()
+    if not rows.num_rows:
+        return
+    field, doc_id, lists, doc_len = (rows[c].chunk(0) for c in ("field", "doc_id", "terms", "doc_len"))
+    lengths = lists.value_lengths().to_numpy()
+    terms = lists.flatten().dictionary_encode()
+    by_term = pc.sort_indices(terms.dictionary)
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term.to_numpy()] = np.arange(len(by_term))
+    names = field.to_numpy(zero_copy_only=False)
+    nth = np.cumsum(np.append(0, names[1:] != names[:-1]))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = nth[doc] * len(by_term) + rank[terms.indices.to_numpy()]
+    order = np.argsort(key, kind="stable")  # rows are in order, so documents of a term are
+    key, doc, at = key[order], doc[order], at[order].astype(np.int32)
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)])
+    ends = np.append(first, len(key))
+    words = terms.dictionary.take(by_term)
+    for k in range(0, len(first), RUN_ROWS):
+        own = first[k : k + RUN_ROWS]
+        here, edges = pa.array(doc[own]), ends[k : k + len(own) + 1]
+        positions = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(at[edges[0] : edges[-1]]))
+        tf = pa.array(np.diff(edges).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([field.take(here), words.take(pa.array(key[own] % len(by_term))), doc_id.take(here), tf, positions, doc_len.take(here)], ["field", "term", "doc_id", "tf", "positions", "doc_len"])
+
+
+@contextmanager
+def _side_by_side(spark: SparkSession) -> Iterator[None]:
+    """Files of up to OPEN_FILES partitions are written at once, so that rows keep their order and needn't be sorted."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, OPEN_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def dictionary(postings: DataFrame) -> DataFrame:
     out = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("ttf"))
     return out.withColumn("n_chars", F.char_length("term"))
