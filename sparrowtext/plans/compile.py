@@ -18,8 +18,10 @@ from ..functions.analysis import py_lower
 from ..functions.similarity import wildcard_regex
 from ..operators.index import SearchIndex
 from ..operators.query import Bool, Boost, ConstantScore, DisMax, Fuzzy, Leaf, MatchAll, Occur, Phrase, Prefix, Query, Range, Regexp, Term, Terms, Wildcard, java_regexp, leaf_terms
+from ..sources.storage import cut
 
 K1, B = 1.2, 0.75
+BROADCAST_TERMS = 200_000
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -114,6 +116,12 @@ def scores(q: Query | None, index: SearchIndex) -> DataFrame:
         phrases = [(i, x) for i, x in enumerate(own) if isinstance(x, Phrase)]
         read = ["field", "term", "doc_id", "tf", "doc_len", *(["positions"] if phrases else [])]
         wanted = reduce(DataFrame.unionByName, picked)
+        few = all(isinstance(x, (Term, Terms, Phrase)) for x in own)  # as many as the query names
+        if not few:
+            wanted = cut(wanted)
+            few = wanted.count() <= BROADCAST_TERMS
+        if few:  # the postings stay where they are, however many a term has
+            wanted = F.broadcast(wanted)
         hits = index.postings.where(reduce(Column.__or__, scan)).select(*read).join(wanted, ["field", "term"])
         hits = hits.withColumn("s", bm25(F.col("tf"), F.col("doc_len"), F.coalesce(mean, F.lit(0.0)), F.lit(float(stats.documents)), F.col("df")))
         aggs = []

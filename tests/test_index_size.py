@@ -7,7 +7,9 @@ import pytest
 
 from sparrowtext.functions import analysis as an
 from sparrowtext.operators import index as ix
+from sparrowtext.operators import query as q
 from sparrowtext.operators.index import SearchIndex
+from sparrowtext.plans import compile as co
 
 TEXTS = {f"d{i}": {"f": " ".join(f"w{(i * j) % 7} Größen the agreed{j % 3}" for j in range(i % 5 + 1)), "g": "É1 ²x İstanbul" if i % 2 else ""} for i in range(60)}
 ix_schema = pa.schema([("field", pa.string()), ("doc_id", pa.string()), ("terms", pa.list_(pa.string())), ("doc_len", pa.int32())])
@@ -56,3 +58,18 @@ def test_runs_stay_in_order(docs, spark):
     saved = SearchIndex.build(docs.coalesce(1)).save()
     rows = [(r.term, r.doc_id) for r in saved.postings.where("field = 'f'").collect()]
     assert rows == sorted(rows) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_found_postings_are_not_exchanged(docs, spark, monkeypatch):
+    saved, query = SearchIndex.build(docs).save(), q.Bool().add(q.Range("f", "w1", "w4")).add(q.Prefix("f", "w6"), q.Occur.MUST_NOT)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = co.scores(query, saved)
+        assert "SortMergeJoin" not in plan(found)
+        got = {r.doc_id: r.score for r in found.collect()}
+        monkeypatch.setattr(co, "BROADCAST_TERMS", 2)
+        other = co.scores(query, saved)
+        assert "SortMergeJoin" in plan(other) and got and {r.doc_id: r.score for r in other.collect()} == pytest.approx(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
