@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import PySparkException as SparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
@@ -26,6 +26,7 @@ TABLES = ("documents", "forward", "postings", "terms", "fields")
 RUN_TERMS = 1 << 21  # terms of the texts whose postings are sorted together
 RUN_ROWS = 1 << 16  # postings handed to the JVM at once
 OPEN_FILES = 16  # fields whose files a task writes side by side; a task with more sorts the rest
+BROADCAST_IDS = 200_000
 _POSTINGS = "field string, term string, doc_id string, tf int, positions array<int>, doc_len int"
 
 
@@ -210,8 +211,13 @@ def _checked(docs: DataFrame) -> DataFrame:
 
 
 def _latest(docs: DataFrame, sequence: str | None) -> DataFrame:
-    """One row of each doc_id.  Only rows of an id that recurs are exchanged by it, so a load of new ids moves no text."""
-    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each doc_id.
+
+    Rows of an id that recurs are told by `sequence` alone, without their texts; only of those that tie do texts count, and each
+    partition sends one row of an id.  With up to BROADCAST_IDS such ids no text is exchanged but that.
+    """
+    counts = docs.groupBy("doc_id").count()
+    again = counts.where("count > 1").select("doc_id")
     try:
         none = again.isEmpty()
     except SparkException:  # a row that isn't a document: the plan itself will say so
@@ -219,7 +225,13 @@ def _latest(docs: DataFrame, sequence: str | None) -> DataFrame:
     if none:
         return docs.select("doc_id", "fields")
     again = cut(again)
+    few = again.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(again) if few else again, "doc_id", "left_semi")
+    if sequence:
+        last = rows.groupBy("doc_id").agg(F.max(f"`{sequence}`").alias("_last"))  # null if all are: a null is before any other
+        rows = rows.join(F.broadcast(last) if few else last, "doc_id").where(F.col(f"`{sequence}`").eqNullSafe(F.col("_last")))
     whole = F.to_json(F.array_sort(F.map_entries("fields")))
-    order = Window.partitionBy("doc_id").orderBy(*([F.col(f"`{sequence}`").desc()] if sequence else []), whole.desc())
-    last = docs.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return docs.join(again, "doc_id", "left_anti").select("doc_id", "fields").union(last.select("doc_id", "fields"))
+    last = cut(rows.groupBy("doc_id").agg(F.max_by("fields", whole).alias("fields")))
+    if counts.where("count = 1").isEmpty():
+        return last
+    return docs.join(F.broadcast(again) if few else again, "doc_id", "left_anti").select("doc_id", "fields").union(last)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowtext.functions import analysis as an
 from sparrowtext.operators import index as ix
@@ -73,3 +74,18 @@ def test_found_postings_are_not_exchanged(docs, spark, monkeypatch):
         assert "SortMergeJoin" in plan(other) and got and {r.doc_id: r.score for r in other.collect()} == pytest.approx(got)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_last_of_many_moves_no_text(spark, monkeypatch):
+    rows = [(str(i % 4), {"f": f"text{i}"}, None if i < 8 else i // 8) for i in range(64)] + [("x", {"f": "a"}, None), ("x", {"f": "b"}, None), ("y", {"f": "c"}, 3)]
+    many = spark.createDataFrame(rows, "doc_id string, fields map<string,string>, seq int").repartition(5).localCheckpoint()
+    want = {"0": "text60", "1": "text61", "2": "text62", "3": "text63", "x": "b", "y": "c"}
+    for most in (ix.BROADCAST_IDS, 1):
+        monkeypatch.setattr(ix, "BROADCAST_IDS", most)
+        last = ix._latest(many, "seq")
+        assert "Window" not in plan(last) and {r.doc_id: r.fields["f"] for r in last.collect()} == want
+        assert last.count() == 6
+    monkeypatch.undo()
+    assert "Exchange hash" not in plan(ix._latest(many, "seq"))
+    only = many.where(F.col("doc_id") < "4")
+    assert {r.doc_id for r in ix._latest(only, None).collect()} == {"0", "1", "2", "3"}
