@@ -1,6 +1,6 @@
 """Text analysis as column expressions: tokens, stop words, stems, and n-grams of several kinds.
 
-Everything but the stems of whole texts is built from functions that run inside the JVM.  The stem of a single word is one chain
+Everything but the terms of whole texts is built from functions that run inside the JVM.  The stem of a single word is one chain
 of replacements in which each step refers to the step before it once; branches that mention a step several times would
 be multiplied by the optimizer.
 """
