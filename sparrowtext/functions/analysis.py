@@ -23,6 +23,7 @@ STOP_WORDS = tuple(
     "a an as at be by if in is it no of on or to and are but for not the was into such that then they this will with their there these".split()
 )
 KNOWN_WORDS = 1 << 19  # words whose stems a worker keeps
+PART_BYTES = 4 << 20  # of the texts that are split at once
 TOKEN = r"[\p{L}\p{Nd}]+"
 
 _M = "\x01"
@@ -90,7 +91,7 @@ def _stems(words: pa.Array) -> pa.Array:
 
 
 def _terms(text: pa.Array, stops: frozenset[str]) -> pa.Array:
-    """The stems of the words of texts that aren't stop words: each distinct word of the batch once."""
+    """The stems of the words of texts that aren't stop words: each distinct word once."""
     words = pc.split_pattern_regex(pc.utf8_lower(text.cast(pa.string())), r"[^\p{L}\p{Nd}]+")  # empty at an edge that is no word
     flat = words.flatten().dictionary_encode()
     stems = [py_stem(w) if w and w not in stops else None for w in flat.dictionary.to_pylist()]
@@ -165,7 +166,9 @@ class Analyzer:
         stops = self.stop_words
 
         def terms(text: pa.Array) -> pa.Array:
-            return _terms(text, stops)
+            rows = max(1, len(text) * PART_BYTES // max(text.nbytes, 1))
+            out = [_terms(text.slice(k, rows), stops) for k in range(0, len(text), rows)]
+            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
         return F.arrow_udf(terms, "array<string>")(text)
 

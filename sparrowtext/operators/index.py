@@ -23,7 +23,7 @@ from ..functions.analysis import STANDARD, Analyzer
 from ..sources.storage import cut, new_folder
 
 TABLES = ("documents", "forward", "postings", "terms", "fields")
-RUN_TERMS = 1 << 21  # terms of the texts whose postings are sorted together
+RUN_TERMS = 1 << 20  # terms of the texts whose postings are sorted together
 RUN_ROWS = 1 << 16  # postings handed to the JVM at once
 OPEN_FILES = 16  # fields whose files a task writes side by side; a task with more sorts the rest
 BROADCAST_IDS = 200_000
@@ -148,6 +148,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= RUN_TERMS:
                 yield from _run(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()  # the worker shares its memory with the JVM's
     if held:
         yield from _run(held)
 
